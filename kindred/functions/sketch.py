@@ -50,13 +50,15 @@ def minhash(tokens: Column | str, h: int = 256, seed: int | None = 0) -> Column:
 
 def lsb_minhash(tokens: Column | str, precision: int = 8, seed: int | None = 0) -> Column:
     """The lowest bit of 64 * precision minima, as ``precision`` 64-bit words."""
-    bits = _minima(_col(tokens), 64 * precision, seed)
-    word = lambda k: F.aggregate(
+    word = lambda bits, k: F.aggregate(
         F.sequence(F.lit(0), F.lit(63)),
         F.lit(0).cast("long"),
         lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", F.get(bits, k * 64 + i).bitwiseAND(F.lit(1).cast("long")), i)),
     )
-    return F.transform(F.sequence(F.lit(0), F.lit(precision - 1)), word)
+    spots = F.sequence(F.lit(0), F.lit(precision - 1))
+    # bound once, as the minima are costly
+    bound = F.array(_minima(_col(tokens), 64 * precision, seed))
+    return F.get(F.transform(bound, lambda bits: F.transform(spots, lambda k: word(bits, k))), F.lit(0))
 
 
 def super_minhash(tokens: Column | str, h: int = 256) -> Column:

@@ -470,5 +470,5 @@ def sqrt_index_pairs(df: DataFrame, similarity: Callable[[Column, Column], Colum
     n = df.count()
     leaders = df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(1, math.isqrt(n)))
     leaders = leaders.select(F.col("id").alias("leader"), F.col("value").alias("lead"))
-    near = df.join(leaders).groupBy("id").agg(F.max(F.struct(similarity(F.col("value"), F.col("lead")).alias("s"), (-F.col("leader")).alias("l"))).alias("b"))
+    near = df.join(leaders).groupBy("id").agg(F.max(F.struct(similarity(F.col("value"), F.col("lead")).alias("s"), F.col("leader").alias("l"))).alias("b"))
     return pairs_from_buckets(near.select("id", F.col("b.l").alias("key")))
