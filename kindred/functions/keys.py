@@ -50,17 +50,22 @@ def _cut(s: Column, start, size=None) -> Column:
     return F.substring(s, start + 1, F.greatest(size, F.lit(0)))
 
 
-def levenshtein_1d_keys(s: Column | str, transpositions: bool = False, flag: str = "\x00") -> Column:
+def levenshtein_1d_keys(
+    s: Column | str, transpositions: bool = False, flag: str = "\x00", skip_doubled: bool = True
+) -> Column:
     """The wildcard neighbourhood: strings at distance 1 at most share a key.
 
-    With transpositions, swapped neighbours also do; such pairs must be verified.
+    With ``skip_doubled`` there is no wildcard inside a doubled letter, which saves keys and loses
+    pairs that differ by a letter put just there. With transpositions, swapped neighbours share a
+    key too; such pairs must be verified.
     """
     s = _col(s)
     n, wild = F.length(s), F.lit(flag)
     spots = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     doubled = lambda i: (i > 0) & (_cut(s, i - 1, 1) == _cut(s, i, 1))
     replaced = F.transform(spots, lambda i: F.concat(_cut(s, 0, i), wild, _cut(s, i + 1)))
-    added = F.transform(F.filter(spots, lambda i: ~doubled(i)), lambda i: F.concat(_cut(s, 0, i), wild, _cut(s, i)))
+    gaps = F.filter(spots, lambda i: ~doubled(i)) if skip_doubled else spots
+    added = F.transform(gaps, lambda i: F.concat(_cut(s, 0, i), wild, _cut(s, i)))
     parts = [F.array(s), replaced, added, F.array(F.concat(s, wild))]
     if transpositions:
         swaps = F.filter(spots, lambda i: (i > 0) & ~doubled(i))

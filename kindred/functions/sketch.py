@@ -40,7 +40,8 @@ def _minima(tokens: Column, h: int, seed: int | None) -> Column:
     params = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in _parameters(h, seed)))
     values = F.array_distinct(F.transform(tokens, crc32))
     least = lambda p: F.array_min(F.transform(values, lambda t: _hashed(t, p["a"], p["b"])))
-    return F.transform(params, lambda p: F.coalesce(F.least(least(p), F.lit(MAX).cast("long")), F.lit(0).cast("long")))
+    none = F.transform(params, lambda p: F.lit(0).cast("long"))
+    return F.when(F.size(tokens) == 0, none).otherwise(F.transform(params, lambda p: F.least(least(p), F.lit(MAX).cast("long"))))
 
 
 def minhash(tokens: Column | str, h: int = 256, seed: int | None = 0) -> Column:

@@ -159,7 +159,7 @@ def adaptive_neighborhood_pairs(
             rows = [(r, i) for r, (s, e) in enumerate(adaptive_windows(values, similar, window)) for i in ids[s : e + 1] if e > s]
             yield pd.DataFrame(rows, columns=["key", "id"])
 
-        spans = order.select("id", "value", "pos").coalesce(1).sortWithinPartitions("pos").mapInPandas(runs, "key long, id long")
+        spans = order.select("id", "value", "pos").coalesce(1).sortWithinPartitions("pos").mapInPandas(runs, f"key long, id {df.schema['id'].dataType.simpleString()}")
         pairs = pairs_from_buckets(materialise(spans, "runs"))
         found = pairs if found is None else found.union(pairs)
     return verify(found.distinct(), df, condition)
@@ -351,7 +351,7 @@ def segment_pairs(df: DataFrame, k: int) -> DataFrame:
 def wildcard_pairs(df: DataFrame, transpositions: bool = False) -> DataFrame:
     """Exact join at (Damerau-)Levenshtein distance 1 by the wildcard neighbourhood."""
     check = M.damerau_levenshtein_distance_lte1 if transpositions else M.levenshtein_distance_lte1
-    found = block_pairs(df, check, blocks=lambda v: K.levenshtein_1d_keys(v, transpositions))
+    found = block_pairs(df, check, blocks=lambda v: K.levenshtein_1d_keys(v, transpositions, skip_doubled=False))
     both = _with_values(found, df)
     return both.select("id_a", "id_b", F.levenshtein("value_a", "value_b").alias("score"))
 
