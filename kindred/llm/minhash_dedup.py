@@ -11,8 +11,11 @@ bucket is a band's value. Nothing emits all pairs of a bucket:
 
 1. each member is verified (exact J_P) against the bucket's pivot, its smallest member by a hash
    that changes every few bands, so a text meets several pivots;
-2. components of the links found; buckets that still hold more than one component give their pairs
-   across components, if the metric 1 - J_P allows one: |d(x, pivot) - d(y, pivot)| <= 1 - t.
+2. members whose component differs from that of the bucket's best linked member are verified
+   against it, which joins near copies of one text to the copy with the fewest edits;
+3. components of the links found; the members of buckets that still hold more than one component
+   are joined across components by prefix and position filters over the shingles that cross
+   components, which loses no pair with J_P >= t and gives few others, and the pairs are verified.
 
 So every two texts that share a bucket and have J_P >= t end in one class, whatever the bucket's
 size. With 24 bands of 5 a pair at J_P = 0.8 shares no bucket with probability 7e-5.
@@ -139,9 +142,71 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
+def _cross_candidates(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes (rep, root) of different components that may still be alike.
+
+    Such a pair has only *crossing* shingles in common, those that stand in more than one component.
+    A text's other shingles come first in a common order, crossing ones follow by hash; the first
+    shingle that two texts share has at most 1 - threshold of either's weight before it, and for texts
+    whose shingles all stand once the overlap that is left must reach the Jaccard threshold. So a
+    text far from all others has no candidate, however large its bucket.
+    """
+    slack = 1 - threshold + 1e-9
+    names = ("token", "rep", "root", "n", "uniform", "mass")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64())
+    schema = "token long, rep long, root long, n long, uniform boolean, mass double"
+
+    def pack(parts) -> Iterator[pa.RecordBatch]:
+        if parts:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(c), k) for c, k in zip(zip(*parts, strict=True), kinds, strict=True)], names
+            )
+
+    def rows(tokens, rep, root, n, uniform, mass):
+        k = len(tokens)
+        return [tokens, np.full(k, rep), np.full(k, root), np.full(k, n), np.full(k, uniform), mass]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                parts = []
+                for rep, root, text in zip(*(c.to_pylist() for c in b.slice(i, 200).columns), strict=True):
+                    tokens, counts = np.unique(shingles_of(text), return_counts=True)
+                    parts.append(
+                        rows(tokens.view(np.int64), rep, root, len(tokens), counts.max(initial=1) == 1, counts / counts.sum())
+                    )
+                yield from pack(parts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = []
+            for rep, root, n, uniform, own in zip(*(b.column(c).to_pylist() for c in ("rep", "root", "n", "uniform", "own")), strict=True):
+                own.sort(key=lambda x: x["token"])
+                mass = np.array([x["mass"] for x in own])
+                before = 1 - mass.sum() + np.cumsum(mass) - mass
+                on = before <= slack
+                parts.append(rows(np.array([x["token"] for x in own], np.int64)[on], rep, root, n, uniform, before[on]))
+            yield from pack(parts)
+
+    wanted = texts.withColumnRenamed("id", "rep").join(nodes, "rep").select("rep", "root", "text")
+    spread_out = materialise(wanted.mapInArrow(spread, schema), "tokens")
+    crossing = spread_out.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    own = (
+        spread_out.join(crossing.select("token"), "token", "left_semi")
+        .groupBy("rep", "root", "n", "uniform")
+        .agg(F.collect_list(F.struct("token", "mass")).alias("own"))
+    )
+    heads = materialise(own.mapInArrow(prefixes, schema), "heads")
+    x = heads.select("token", *(F.col(c).alias(c + "_x") for c in names[1:]))
+    y = heads.select(F.col("token").alias("same"), *(F.col(c).alias(c + "_y") for c in names[1:]))
+    left = F.least(F.expr("n_x * (1 - mass_x)"), F.expr("n_y * (1 - mass_y)")) + 1e-6
+    reach = left >= threshold * (F.col("n_x") + F.col("n_y") - left)
+    fits = (F.col("rep_x") < F.col("rep_y")) & (F.col("root_x") != F.col("root_y")) & (reach | ~(F.col("uniform_x") & F.col("uniform_y")))
+    return x.join(y, (F.col("token") == F.col("same")) & fits).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
     """(doc_id, class_id, class_size) of every row; class_id is the class's smallest id."""
-    slack = 1 - threshold + 1e-9
     sig = materialise(signatures(docs, bands, rows), "sig")
     nodes = materialise(
         sig.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes"
@@ -166,33 +231,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, ro
     first = materialise(_verify(pairs.distinct(), texts), "sims")
     links = first.filter(F.col("sim") >= threshold)
     roots = components(links)
+    # a second pivot: of each bucket that is still split, the member with the most links
+    ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep")))
+    degree = ends.groupBy("rep").agg(F.count("*").alias("links"))
+    rooted = members.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")
+    rooted = rooted.select("key", "rep", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    hubs = rooted.groupBy("key").agg(F.max(F.struct("links", "rep", "root")).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    again = rooted.join(hubs.filter("lo <> hi").select("key", "hub"), "key").filter("root <> hub.root")
+    again = again.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+    hub_sims = materialise(_verify(again.join(first.select("a", "b"), ["a", "b"], "left_anti"), texts), "sims")
+    first = first.unionByName(hub_sims)
+    links = first.filter(F.col("sim") >= threshold)
+    roots = components(links)
     # what sharing a bucket with another component still leaves open
-    far = first.select("a", "b", (1 - F.col("sim")).alias("far"))
     root_of = roots.select(F.col("id").alias("rep"), "root")
-    placed = (
-        members.join(root_of, "rep", "left")
-        .withColumn("root", F.coalesce("root", "rep"))
-        .withColumn("a", F.least("rep", "pivot"))
-        .withColumn("b", F.greatest("rep", "pivot"))
-    )
+    placed = members.join(root_of, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
     split = split.filter("lo <> hi and n > 2").select("key")
-    open_ = materialise(
-        placed.join(split, "key").join(far, ["a", "b"], "left").select(
-            "key", "rep", "root", "pivot", F.coalesce("far", F.lit(0.0)).alias("far")
-        ),
-        "open",
-    )
-    x, y = open_.filter("rep <> pivot"), open_.filter("rep <> pivot")
-    y = y.select("key", F.col("rep").alias("rep2"), F.col("root").alias("root2"), F.col("far").alias("far2"))
-    more = (
-        x.join(y, "key")
-        .filter((F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2")))
-        .filter(F.abs(F.col("far") - F.col("far2")) <= slack)
-        .select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-        .distinct()
-        .join(first.select("a", "b"), ["a", "b"], "left_anti")
-    )
+    open_ = placed.join(split, "key").select("rep", "root").distinct()
+    more = _cross_candidates(open_, texts, threshold).join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = materialise(_verify(more, texts).filter(F.col("sim") >= threshold), "sims")
     if not second.isEmpty():
         roots = components(links.select("a", "b").union(second.select("a", "b")))
