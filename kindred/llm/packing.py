@@ -180,37 +180,61 @@ def runs(packing: Packing) -> dict[int, tuple[np.ndarray, ...]]:
 class CachedTokenizer:
     """Ids of a Hugging Face tokenizer whose tokens never cross white space, by cached chunks.
 
-    A chunk between white space is encoded once and kept while the cache has room; a text is the
-    chunks' ids in order, which equals encoding it whole.
+    A chunk between white space is encoded once and kept; a text is the chunks' ids in order, which
+    equals encoding it whole. A full stop or comma that ends a chunk behind a letter or digit is a chunk of
+    its own, as it is a token of its own. The cache has two generations: when the young one is
+    full it becomes the old one, and what is met again is taken over, so common words stay.
     """
 
     #: What the tokenizers' \\s is; str.split() also splits at \\x1c-\\x1f.
     _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
     _ODD = re.compile("[\x1c-\x1f]")
+    _STOP = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
+    _MARK = "\x01"
 
-    def __init__(self, path: str, room: int = 500_000):
+    def __init__(self, path: str, room: int = 700_000):
         from tokenizers import Tokenizer
 
-        self.inner, self.cache, self.room = Tokenizer.from_file(path), {}, room
+        self.inner, self.young, self.old, self.room = Tokenizer.from_file(path), {}, {}, room
+        mark = self.inner.encode(self._MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def chunks(self, text: str) -> list[str]:
+        text = self._STOP.sub(r" \1", text)
         return [x for x in self._SPACE.split(text) if x] if self._ODD.search(text) else text.split()
 
+    def _encode(self, chunks: list[str]) -> None:
+        """Encode new chunks in one text, with a mark between them whose id no other text has."""
+        plain = [c for c in chunks if self._MARK not in c] if self.mark is not None else []
+        if plain:
+            ids = np.array(self.inner.encode(f" {self._MARK} ".join(plain), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark).tolist()
+            for c, start, end in zip(plain, [-1, *cuts], [*cuts, len(ids)], strict=True):
+                self.young[c] = ids[start + 1 : end].tobytes()
+        for c in chunks:
+            if c not in self.young:
+                self.young[c] = np.array(self.inner.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words, cache = self.chunks(text), self.cache
+        words, young = self.chunks(text), self.young
         try:
-            return b"".join([cache[w] for w in words])
+            return b"".join([young[w] for w in words])
         except KeyError:
             pass
-        if len(cache) > self.room:
-            cache.clear()
-        missing = list({w for w in words if w not in cache})
+        if len(young) > self.room:
+            self.old, self.young = young, {}
+            young = self.young
+        missing = []
+        for w in {w for w in words if w not in young}:
+            got = self.old.get(w)
+            if got is None:
+                missing.append(w)
+            else:
+                young[w] = got
         for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for w, e in zip(part, self.inner.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+            self._encode(missing[at : at + 4096])
+        return b"".join([young[w] for w in words])
 
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
