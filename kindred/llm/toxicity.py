@@ -77,6 +77,19 @@ class Lexicon:
         return word in self.words or any(word.startswith(s) for s in self.stems)
 
 
+def nearness(starts: list[int], low: str) -> float:
+    """Share of the hits that have a second-person word within 80 characters to either side."""
+    if not starts:
+        return 0.0
+    you = [m.span() for m in _WORD.finditer(low) if m.group() in SECOND_PERSON]
+    if not you:
+        return 0.0
+    first, end = np.array(you).T
+    at = np.array(starts)
+    k = np.searchsorted(first, at - 80)
+    return float(np.mean((k < len(end)) & (end[np.minimum(k, len(end) - 1)] <= at + 80)))
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     text = text or ""
     low = text.lower()
@@ -90,13 +103,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     stems = {s for s, _, w in hits if not w}
     odd = _ODD.findall(low) if by[_DIGIT].sum() + by[_PUNCT].sum() else []
     odd_hits = sum(lexicon.has(x.translate(_LEET)) for x in odd)
-    near, you = 0.0, 0
-    for start, _, _ in hits[:64]:
-        around = low[max(0, start - 80) : start + 80]
-        if any(w in SECOND_PERSON for w in _WORD.findall(around)):
-            you += 1
-    if hits:
-        near = you / min(64, len(hits))
+    near = nearness([start for start, _, _ in hits], low)
     return [
         np.log1p(len(raw)),
         len(whole) / n_words,

@@ -50,3 +50,15 @@ def test_isotonic_and_missing_classes(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert X.score(docs, X.fit_on(docs, none)).first()["score"] == 0.0
     assert X.score(spark.createDataFrame([], SCHEMA), X.fit_on(docs, none)).count() == 0
+
+
+def test_nearness_is_of_all_hits():
+    lexicon = X.Lexicon({"plonker": 1.0}, {})
+    calm = "a plonker is a tool " + "for the workshop and the garden " * 4
+    text = calm * 100 + "you plonker " * 300
+    near = X.features(text, lexicon)[7]
+    assert near == np.float64(300 / 400)
+    assert X.features(calm * 100, lexicon)[7] == 0 and X.features("you fool", lexicon)[7] == 0
+    # whole words only, at most 80 characters away
+    for gap, want in ((70, 1.0), (90, 0.0)):
+        assert X.features("you " + "x" * gap + " plonker", lexicon)[7] == want
