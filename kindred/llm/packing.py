@@ -83,41 +83,61 @@ def best_fit(counts: dict[int, int], capacity: int) -> Packing:
     return [x for groups in open_.values() for x in groups]
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated sets of pieces for ``room``, least waste first, at most ``most`` of them.
+def fillings(counts: dict[int, int], sizes: list[int], room: int) -> Iterator[tuple[int, ...]]:
+    """All undominated sets of pieces for ``room``, least waste first, then largest pieces first.
 
     A filling is dropped if an unused piece fits beside it, or if one of its pieces can be changed
-    for a larger unused one that still fits (Martello and Toth's dominance for single pieces).
+    for a larger unused one that still fits (Martello and Toth's dominance for single pieces). The
+    sums that the sizes from each one on can reach, as bits, keep the walk off dead ends.
     """
-    out: list[tuple[int, tuple[int, ...]]] = []
-    falling = [-s for s in sizes]
-    steps = 0
-
-    def grow(at: int, room: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps
-        steps += 1
-        used = Counter(chosen)
-        at = max(at, bisect_left(falling, -room))
-        fits = (s for s in reversed(sizes) if counts[s] > used[s])
-        if next(fits, room + 1) > room:
-            swaps = (t for s in chosen for t in sizes if s < t <= s + room and counts[t] > used[t])
-            if not room or next(swaps, None) is None:
-                out.append((room, chosen))
+    sizes = [s for s in sizes if s <= room and counts[s]]
+    mask = (1 << (room + 1)) - 1
+    reach = [1] * (len(sizes) + 1)
+    for j in range(len(sizes) - 1, -1, -1):
+        sums, left, step = reach[j + 1], min(counts[sizes[j]], room // sizes[j]), 1
+        while left:
+            step = min(step, left)
+            sums |= (sums << step * sizes[j]) & mask
+            left, step = left - step, 2 * step
+        reach[j] = sums
+
+    def sets(at: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
             return
-        for j in range(at, len(sizes)):
-            if steps > 20 * most or len(out) >= 2 * most:
+        while at < len(sizes):
+            size = sizes[at]
+            for times in range(min(counts[size], total // size), 0, -1):
+                if reach[at + 1] >> (total - times * size) & 1:
+                    for rest in sets(at + 1, total - times * size):
+                        yield (size,) * times + rest
+            at += 1
+            if not reach[at] >> total & 1:
                 return
-            if counts[sizes[j]] > used[sizes[j]]:
-                grow(j, room - sizes[j], (*chosen, sizes[j]))
 
-    grow(0, room, ())
-    return [c for _, c in sorted(out)[:most]]
+    least = None
+    for waste in range(room + 1):
+        if not reach[0] >> (room - waste) & 1:
+            continue
+        least = waste if least is None else least
+        for chosen in sets(0, room - waste):
+            if waste > least:
+                used = Counter(chosen)
+                if any(s <= waste and counts[s] > used[s] for s in sizes):
+                    continue
+                if any(s < t <= s + waste and counts[t] > used[t] for s in used for t in sizes):
+                    continue
+            yield chosen
 
 
-def bin_completion(counts: dict[int, int], capacity: int, max_nodes: int = 200, width: int = 8) -> Packing:
-    """Bin completion branch-and-bound with best-fit incumbents; optimal if the search ends in time."""
+def bin_completion(counts: dict[int, int], capacity: int, max_nodes: int | None = None) -> Packing:
+    """Bin completion branch-and-bound with best-fit incumbents; optimal if the search ends in time.
+
+    Without ``max_nodes`` the search has 200 nodes and eight more a length.
+    """
     counts = {s: c for s, c in counts.items() if c}
     best = best_fit(counts, capacity)
+    max_nodes = 200 + 8 * len(counts) if max_nodes is None else max_nodes
     goal, total = lower_bound(counts, capacity), sum(s * c for s, c in counts.items())
     need = lambda p: sum(n for _, n in p)
     nodes = 0
@@ -133,11 +153,11 @@ def bin_completion(counts: dict[int, int], capacity: int, max_nodes: int = 200,
         first = max(left)
         after = left | {first: left[first] - 1}
         sizes = sorted((s for s, c in after.items() if c), reverse=True)
-        for filling in fillings(after, sizes, capacity - first, width):
+        for filling in fillings(after, sizes, capacity - first):
             pattern = tuple(sorted(Counter((first, *filling)).items(), reverse=True))
             room = capacity - first - sum(filling)
             often = min(left[s] // n for s, n in pattern)
-            for times in {often, 1}:
+            for times in dict.fromkeys((often, 1)):
                 if waste + room * times > (need(best) - 1) * capacity - total:
                     continue
                 then = {s: c - times * dict(pattern).get(s, 0) for s, c in left.items()}
@@ -267,7 +287,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     )
 
 
-def place(cut: DataFrame, capacity: int = 2048, max_nodes: int = 200, buckets: int | None = None) -> DataFrame:
+def place(cut: DataFrame, capacity: int = 2048, max_nodes: int | None = None, buckets: int | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces; ``cut`` must be a written table.
 
     Only the histogram of lengths (at most ``capacity`` rows) is collected.

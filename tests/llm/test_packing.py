@@ -76,3 +76,40 @@ def test_pieces_are_placed_once_without_gaps(spark):
     counts = Counter(r["length"] for r in out)
     assert len(by) <= P.lower_bound(counts, 256) + 1
     assert P.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_fillings_are_all_undominated_ones_least_waste_first():
+    rng = random.Random(6)
+    for _ in range(60):
+        room = rng.randint(5, 30)
+        counts = Counter(rng.randint(1, 12) for _ in range(9))
+        sizes = sorted(counts, reverse=True)
+        sets = {()}
+        for s in sizes:
+            sets = {(*x, *[s] * k) for x in sets for k in range(counts[s] + 1) if sum(x) + k * s <= room}
+        want = set()
+        for x in sets:
+            used, waste = Counter(x), room - sum(x)
+            free = [s for s in sizes if counts[s] > used[s]]
+            if not any(s <= waste for s in free) and not any(s < t <= s + waste for s in used for t in free):
+                want.add(x)
+        got = list(P.fillings(counts, sizes, room))
+        assert set(got) == want and len(got) == len(want)
+        assert [sum(x) for x in got] == sorted((sum(x) for x in got), reverse=True)
+
+
+def test_fillings_reach_the_exact_one_behind_many_dominated_sizes():
+    counts = {s: 40 for s in range(600, 901)}
+    assert next(P.fillings(counts, sorted(counts, reverse=True), 2048 - 848)) == (600, 600)
+
+
+def test_bin_completion_improves_on_best_fit_over_many_lengths():
+    counts = {s: 5 for s in range(300, 701)}
+    count = lambda packing: sum(n for _, n in packing)
+    packed = P.bin_completion(counts, 2048)
+    got = Counter()
+    for pattern, n in packed:
+        assert sum(s * k for s, k in pattern) <= 2048
+        got.update({s: k * n for s, k in pattern})
+    assert got == counts
+    assert P.lower_bound(counts, 2048) == 490 and count(P.best_fit(counts, 2048)) == 513 and count(packed) <= 496
