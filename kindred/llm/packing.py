@@ -23,6 +23,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -140,45 +141,56 @@ def bin_completion(counts: dict[int, int], capacity: int, max_nodes: int | None
     max_nodes = 200 + 8 * len(counts) if max_nodes is None else max_nodes
     goal, total = lower_bound(counts, capacity), sum(s * c for s, c in counts.items())
     need = lambda p: sum(n for _, n in p)
-    nodes = 0
-
-    def search(left: dict[int, int], done: Packing, used: int, waste: int) -> None:
-        nonlocal best, nodes
-        nodes += 1
-        rest = best_fit(left, capacity)
-        if used + need(rest) < need(best):
-            best = done + rest
-        if not left or need(best) == goal or nodes >= max_nodes:
-            return
+    if need(best) == goal:
+        return best
+
+    def branches(left: dict[int, int]) -> Iterator[tuple[Pattern, int]]:
         first = max(left)
         after = left | {first: left[first] - 1}
         sizes = sorted((s for s, c in after.items() if c), reverse=True)
         for filling in fillings(after, sizes, capacity - first):
             pattern = tuple(sorted(Counter((first, *filling)).items(), reverse=True))
-            room = capacity - first - sum(filling)
             often = min(left[s] // n for s, n in pattern)
             for times in dict.fromkeys((often, 1)):
-                if waste + room * times > (need(best) - 1) * capacity - total:
-                    continue
-                then = {s: c - times * dict(pattern).get(s, 0) for s, c in left.items()}
-                search(
-                    {s: c for s, c in then.items() if c},
-                    [*done, (pattern, times)],
-                    used + times,
-                    waste + room * times,
-                )
-                if need(best) == goal or nodes >= max_nodes:
-                    return
-
-    if need(best) > goal:
-        import sys
-
-        deep = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(deep, 3 * max_nodes + 1000))
-        try:
-            search(counts, [], 0, 0)
-        finally:
-            sys.setrecursionlimit(deep)
+                yield pattern, times
+
+    def use(pattern: Pattern, times: int) -> None:
+        for s, n in pattern:
+            left[s] = left.get(s, 0) - times * n
+            if not left[s]:
+                del left[s]
+
+    # One node's counts are kept, and per level only the number of its branch, which is listed
+    # again on the way back: a search may be thousands of levels deep.
+    left, nodes, used, waste = dict(counts), 0, 0, 0
+    done: Packing = []
+    tried = [0]
+    while tried and nodes < max_nodes:
+        if not tried[-1]:
+            nodes += 1
+            rest = best_fit(left, capacity)
+            if used + need(rest) < need(best):
+                best = done + rest
+                if need(best) == goal:
+                    break
+        step = None
+        for pattern, times in islice(branches(left), tried[-1], None) if left else ():
+            tried[-1] += 1
+            lost = times * (capacity - sum(s * n for s, n in pattern))
+            if waste + lost <= (need(best) - 1) * capacity - total:
+                step = pattern, times
+                break
+        if step:
+            use(*step)
+            done.append(step)
+            used, waste = used + times, waste + lost
+            tried.append(0)
+        else:
+            tried.pop()
+            if done:
+                pattern, times = done.pop()
+                use(pattern, -times)
+                used, waste = used - times, waste - times * (capacity - sum(s * n for s, n in pattern))
     return best
 
 
