@@ -11,16 +11,23 @@ is written as its UTF-8 bytes' pieces where the model has byte fallback.
 the single pass, but the piece that a position relaxes to is the one whose pair with the piece
 before it merging leaves as it is, so its result is merge order's (what the library gives for a model
 of type BPE). Either is cached by word, as pieces cross no space: every word begins with its space
-mark, and texts are those words in order.
+mark, and texts are those words in order. A new word is cut between characters that no piece has side
+by side, where every segmentation has a boundary; only parts not met before go through the automaton.
 
-Normalising is the model's own where it is plain (no character map): spaces become U+2581, one is put
-in front. Null is the empty text, which has no ids. Decoding restores the text of any encoding here
-without loss, runs of spaces included.
+Normalising: spaces become U+2581, one is put in front if the model says so. A model with a character
+map, or one that drops spaces, is refused. Decoding restores the text of any encoding here without
+loss, runs of spaces included.
+
+Defined results: null is the empty text, which has no ids; null ids, repeated rows and rows that share
+an id get a result each; an empty table gives no row; extra columns are not read. Work and memory are
+in proportion to a text's length.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -84,7 +91,10 @@ class Model:
                     spec = dict(_fields(value))
                     model.bpe, model.byte_fallback = spec.get(3, 1) == 2, bool(spec.get(35, 0))
                 elif field == 3:
-                    model.dummy_prefix = bool(dict(_fields(value)).get(3, 1))
+                    spec = dict(_fields(value))
+                    model.dummy_prefix = bool(spec.get(3, 1))
+                    if spec.get(2) or spec.get(4, 1) or not spec.get(5, 1):
+                        raise ValueError(f"{path}: only models that keep texts as they are can be read")
         model.unk = model.types.index(UNKNOWN)
         return model
 
@@ -119,12 +129,18 @@ class Automaton:
                 self.fail[to] = f
                 self.up[to] = f if self.out[f] >= 0 else self.up[f]
                 queue.append(to)
+        self.kept = 0
 
     def step(self, s: int, ch: str) -> int:
-        edges = self.edges
-        while s and ch not in edges[s]:
-            s = self.fail[s]
-        return edges[s].get(ch, 0)
+        """The state after ``ch``; one found by failure links is kept as a transition of ``s``."""
+        at = s
+        while at and ch not in self.edges[at]:
+            at = self.fail[at]
+        to = self.edges[at].get(ch, 0)
+        if self.kept < 2_000_000 and s:
+            self.edges[s][ch] = to
+            self.kept += 1
+        return to
 
     def ends(self, s: int) -> list[int]:
         """Pieces that end in a state, the longest first, by its output links."""
@@ -135,10 +151,28 @@ class Automaton:
         return found
 
 
+class _Recent:
+    """A cache of two generations: the full young one becomes the old one, and what is met again moves over."""
+
+    def __init__(self, room: int):
+        self.room, self.young, self.old = room, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.room:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Encoder:
-    """Ids of a text; ``how`` is "unigram", "bpe" or None for the model's own type."""
+    """Ids of a text; ``how`` is "unigram", "bpe", "both" or None for the model's own type."""
 
-    def __init__(self, path: str, how: str | None = None, room: int = 600_000):
+    def __init__(self, path: str, how: str | None = None, room: int = 300_000):
         self.model = m = Model.load(path)
         self.how = how or ("bpe" if m.bpe else "unigram")
         usable = {p: i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t in (NORMAL, USER) and p}
@@ -154,8 +188,12 @@ class Encoder:
             tuple((len(m.pieces[p]), m.scores[p], p) for p in self.automaton.ends(s))
             for s in range(len(self.automaton.out))
         ]
-        self.cache: dict[str, bytes] = {}
-        self.room = room
+        beside: dict[str, set[str]] = {}
+        for p in usable:
+            for x, y in zip(p, p[1:]):
+                beside.setdefault(x, set()).add(y)
+        self.beside = {x: frozenset(y) for x, y in beside.items()}
+        self.words_met, self.parts_met = _Recent(room), _Recent(room)
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
 
@@ -168,34 +206,76 @@ class Encoder:
 
     _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+", re.S)
 
-    def words(self, text: str) -> list[str]:
-        """Normalised words; a run of spaces stays with the word behind it."""
-        return self._WORD.findall(self.normalise(text))
+    def words(self, text: str) -> list:
+        """Keys of the words: a string lacks its space mark, a tuple holds a first word without one.
 
-    def encode_bytes(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        words, cache = self.words(text or ""), self.cache
+        A run of spaces stays with the word behind it.
+        """
+        if not text:
+            return []
+        if self.model.dummy_prefix and text[0] != " " and "  " not in text and SPACE not in text:
+            return text.split(" ")
+        return [w[1:] if w[0] == SPACE else (w,) for w in self._WORD.findall(self.normalise(text))]
+
+    def encode_words(self, keys: list) -> list[tuple[bytes, ...]]:
+        """Of each word its ids as little-endian unsigned 32-bit numbers, one result for each way of this encoder."""
+        met = self.words_met.young
         try:
-            return b"".join([cache[w] for w in words])
+            return [met[w] for w in keys]
         except KeyError:
             pass
-        if len(cache) > self.room:
-            cache.clear()
         out = []
-        for w in words:
-            ids = cache.get(w)
+        for w in keys:
+            got = met.get(w)
+            if got is None:
+                got = self.words_met.get(w)
+                if got is None:
+                    got = self._new_word(w[0] if isinstance(w, tuple) else SPACE + w)
+                    if len(w) <= 64:
+                        self.words_met.put(w, got)
+                met = self.words_met.young
+            out.append(got)
+        return out
+
+    def _new_word(self, word: str) -> tuple[bytes, ...]:
+        beside, none = self.beside, frozenset()
+        cuts = [k for k, y in enumerate(word[1:], 1) if y not in beside.get(word[k - 1], none)]
+        if cuts and not self.model.byte_fallback:  # neighbours without a piece are one unknown piece
+            cuts = [k for k in cuts if word[k - 1] in self.ids or word[k] in self.ids]
+        parts = [word[start:end] for start, end in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+        out = []
+        for part in parts:
+            ids = self.parts_met.get(part)
             if ids is None:
-                ids = np.array(self.encode_word(w), "<u4").tobytes()
-                if len(w) <= 64:
-                    cache[w] = ids
+                ids = self._new_part(part)
+                if len(part) <= 64:
+                    self.parts_met.put(part, ids)
             out.append(ids)
-        return b"".join(out)
+        if len(out) > 1:
+            out[0] = tuple(b"".join(x) if isinstance(x[0], bytes) else all(x) for x in zip(*out))
+        return out[0]
+
+    def _new_part(self, part: str) -> tuple:
+        """(Viterbi's ids, merge order's ids, whether the first are the part's bytes) or the one that is asked for."""
+        pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+        if self.how != "both":
+            return (pack(self.encode_word(part)),)
+        path, merged = self._both(part)
+        ids = self._ids(part, path)
+        shown = b"".join([self.shown[i] for i in ids]) == part.encode("utf-8", "surrogatepass")
+        return pack(ids), pack(ids if path == merged else self._ids(part, merged)), shown
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit numbers."""
+        return b"".join([x[0] for x in self.encode_words(self.words(text or ""))])
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def encode_word(self, word: str) -> list[int]:
-        path = self._viterbi(word) if self.how == "unigram" else self._merge_path(word)
+        return self._ids(word, self._viterbi(word) if self.how == "unigram" else self._merge_path(word))
+
+    def _ids(self, word: str, path: list[tuple[int, int, int]]) -> list[int]:
         ids: list[int] = []
         for start, end, piece in path:
             if piece != self.model.unk:
@@ -256,19 +336,32 @@ class Encoder:
         return got
 
     def _merge(self, text: str, stop: bool = False) -> list[str]:
-        """Merging by score, leftmost first; with ``stop`` it ends with two parts left."""
-        parts = list(text)
-        while len(parts) > (2 if stop else 1):
-            options = [
-                (-self.model.scores[i], k)
-                for k in range(len(parts) - 1)
-                if (i := self.ids.get(parts[k] + parts[k + 1])) is not None
-            ]
-            if not options:
-                break
-            k = min(options)[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+        """Merging by score, leftmost first, by a heap of neighbours; with ``stop`` it ends with two parts left."""
+        parts: list[str] = list(text)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(k: int) -> None:
+            if 0 <= k and after[k] < len(parts):
+                both = parts[k] + parts[after[k]]
+                if (i := self.ids.get(both)) is not None:
+                    heapq.heappush(heap, (-self.model.scores[i], k, both))
+
+        for k in range(len(parts) - 1):
+            offer(k)
+        count = len(parts)
+        while heap and count > (2 if stop else 1):
+            _, k, both = heapq.heappop(heap)
+            if not parts[k] or after[k] >= len(parts) or parts[k] + parts[after[k]] != both:
+                continue
+            gone = after[k]
+            parts[k], parts[gone], after[k] = both, "", after[gone]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            count -= 1
+            offer(k)
+            offer(before[k])
+        return [p for p in parts if p]
 
     def _fit(self, a: int, b: int) -> bool:
         """Whether merging the text of both pieces leaves exactly these two."""
@@ -313,6 +406,45 @@ class Encoder:
             return out
         return self._back(back, len(word))
 
+    def _both(self, word: str) -> tuple[list, list]:
+        """The paths of ``_viterbi`` and ``_merge_path`` by one walk of the automaton."""
+        auto, ends, unk, fits, unknown = self.automaton, self.ends, self.model.unk, self._fits, self.unknown_score
+        edges, parts = auto.edges, self._parts
+        best, back = [0.0], [(0, unk)]
+        last: list[tuple[int, int] | None] = [(0, unk)]
+        s = end = 0
+        for ch in word:
+            end += 1
+            to = edges[s].get(ch)
+            s = auto.step(s, ch) if to is None else to
+            found = ends[s]
+            top, how, joined = float("-inf"), None, None
+            for size, score, piece in found:
+                start = end - size
+                value = best[start] + score
+                if value > top:
+                    top, how = value, (start, piece)
+                if joined is None:
+                    before = last[start]
+                    if before is not None and (size == 1 or (parts[piece] if piece in parts else self._halves(piece)) is not None):
+                        if start == 0 or before[1] == unk:
+                            joined = (start, piece)
+                        else:
+                            fit = fits.get((before[1], piece))
+                            if fit if fit is not None else self._fit(before[1], piece):
+                                joined = (start, piece)
+            if not found or found[-1][0] > 1:
+                value = best[end - 1] + unknown
+                if value > top:
+                    top, how = value, (end - 1, unk)
+                if joined is None:
+                    joined = (end - 1, unk)
+            best.append(top)
+            back.append(how)
+            last.append(joined)
+        merged = self._back(last, end) if last[end] is not None else self._merge_path(word)
+        return self._back(back, end), merged
+
     # -- decoding
 
     def decode(self, ids: list[int]) -> str:
@@ -367,14 +499,14 @@ def encode_report(docs: DataFrame, model_path: str) -> DataFrame:
     little-endian unsigned 32-bit numbers. ``round_trip`` is whether decoding gives the text back.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, merged = encoder_at(model_path, "unigram"), encoder_at(model_path, "bpe")
+        e = encoder_at(model_path, "both")
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = text.as_py() or ""
-                ids, other = best.encode_bytes(t), merged.encode_bytes(t)
-                same = best.decode(np.frombuffer(ids, "<u4").tolist()) == t.replace(SPACE, " ")
-                rows.append((doc_id, len(ids) // 4, zlib.crc32(ids), len(other) // 4, zlib.crc32(other), same))
+                parts = e.encode_words(e.words(text.as_py() or ""))
+                ids, merged = b"".join([x[0] for x in parts]), b"".join([x[1] for x in parts])
+                same = all([x[2] for x in parts])
+                rows.append((doc_id, len(ids) // 4, zlib.crc32(ids), len(merged) // 4, zlib.crc32(merged), same))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             names = ["doc_id", "n_tokens", "ids_crc32", "n_merged", "merged_crc32", "round_trip"]
