@@ -75,3 +75,46 @@ def test_nulls_and_empty(spark):
     got = sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in D.near_duplicates(frame(spark, rows)).collect()), key=str)
     assert got == sorted([(None, 4, 3), (4, 4, 3), (4, 4, 3), (5, 5, 2), (6, 5, 2)], key=str)
     assert D.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_bounds_by_differences_hold():
+    """J_P >= t if the sum of both texts' sure slack is enough, and only if that of the high slack is."""
+    rng = random.Random(4)
+    t = 0.8
+    for _ in range(400):
+        a = [rng.randrange(30) for _ in range(40)]
+        b = list(a)
+        for _ in range(rng.randrange(0, 8)):
+            b[rng.randrange(len(b))] = rng.randrange(60)
+        b += [rng.randrange(30)] * rng.randrange(0, 3)
+        (ca, cb), n = (Counter(a), Counter(b)), len(a) + len(b)
+        apart = {(k, i) for k in {*ca, *cb} for i in range(max(ca[k], cb[k])) if i >= min(ca[k], cb[k])}
+        later = sum(i > 0 for _, i in apart)
+        sim = exact(np.array(a, np.uint64), np.array(b, np.uint64))
+        if len(apart) <= (1 - t) * n / (1 + t) - 1e-9:
+            assert sim >= t - 1e-9
+        if sim >= t:
+            assert len(apart) <= ((1 - t) * n + 2 * later) / (1 + t) + 1e-9
+
+
+def test_near_copies_with_repeated_lines_equal_brute_force(spark):
+    rng = random.Random(12)
+    line = words(rng, 8, 10**6)
+    rows = []
+    for f in range(2):
+        base = (line + " " + words(rng, 60, 10**6) + " " + line + " " + words(rng, 40, 10**6) + " " + line).split()
+        for i in range(18):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = "edit" + str(rng.randrange(30))
+            w += line.split() * rng.choice([0, 0, 0, 1, 2])
+            rows.append((100 * f + i, " ".join(w), "en", "s", 1, "x", 1))
+    got = {r["doc_id"]: r["class_id"] for r in D.near_duplicates(frame(spark, rows)).collect()}
+    assert got == classes(rows)
+
+
+def test_keep_one_and_null_ids(spark):
+    text = "a b c d e f"
+    rows = [(None, text, *[None] * 5)] * 3 + [(None, "g h", *[None] * 5)] * 2 + [(9, "g h", *[None] * 5)]
+    kept = [(r["doc_id"], r["text"]) for r in D.keep_one(frame(spark, rows)).collect()]
+    assert sorted(kept, key=str) == [(9, "g h"), (None, text)]
