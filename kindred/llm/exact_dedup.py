@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .common import fresh_path, materialise
@@ -39,7 +40,7 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or fresh_path(spark, "digests")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._bucket_count(buckets)
         self.name = "digests_" + uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex
         if not spark.catalog.tableExists(self.name):
             spark.sql(
@@ -47,16 +48,32 @@ class DigestIndex:
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
             )
 
+    def _bucket_count(self, asked: int | None) -> int:
+        """The count the index was written with, kept beside it; a new index takes ``asked`` or the session's."""
+        beside = f"{self.path}.buckets"
+        try:
+            found = self.spark.read.schema("buckets int").parquet(beside).first()
+        except AnalysisException:
+            found = None
+        if found is None:
+            count = asked or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self.spark.range(1, numPartitions=1).select(F.lit(count).alias("buckets")).write.mode("overwrite").parquet(beside)
+            return count
+        if asked and asked != found["buckets"]:
+            raise ValueError(f"{self.path} has {found['buckets']} buckets, not {asked}")
+        return found["buckets"]
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Dedup ``docs`` against the index and within itself; append what is new.
 
         Returns (doc_id, digest, nth, keep_id, group_size, kept) per row. ``group_size`` counts
-        rows of this batch.
+        rows of this batch. A caller that names its ``batch`` can add it again after a failure: what the
+        first try appended counts as this batch's own, so nothing is appended twice and the same rows stay.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         same = W.partitionBy("digest", "doc_id").orderBy("doc_id")
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text_col).alias("digest"))
         rows = materialise(rows.withColumn("nth", F.row_number().over(same)), "rows")
@@ -76,6 +93,7 @@ class DigestIndex:
             .saveAsTable(self.name)
         )
         known = self.table().hint("merge").join(groups.select("digest", "group_size"), "digest")
+        known = known.select("digest", "keep_id", "batch", "group_size")
         total = groups.agg(F.sum("group_size")).first()[0] or 0
         bar = max(2, total * HOT_SHARE)
         hot = F.broadcast(known.filter(F.col("group_size") >= bar))
@@ -103,14 +121,15 @@ def keep_first(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, whole and with all their columns.
 
     A repeated (id, text) row is let through once: rows that match a kept id and digest are
-    numbered, on those few keys alone.
+    numbered, on those few keys alone. The input row travels as one struct, so its columns may have any
+    names but that of each other.
     """
     told = (index or DigestIndex(docs.sparkSession)).add(docs)
     twice = told.groupBy("digest", "doc_id").agg(F.max("nth").alias("times"), F.max("kept").alias("kept"))
-    kept = twice.filter("kept").select(F.col("digest").alias("_d"), F.col("doc_id").alias("_i"), "times")
-    marked = docs.withColumn("_digest", digest("text"))
-    on = (F.col("_digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_i"))
-    joined = marked.join(kept, on)
-    once = joined.filter("times = 1").select(*docs.columns)
-    again = joined.filter("times > 1").dropDuplicates(["_digest", "doc_id"]).select(*docs.columns)
+    kept = twice.filter("kept").select(F.col("digest").alias("kept_digest"), F.col("doc_id").alias("kept_id"), "times")
+    marked = docs.select(F.struct(*docs.columns).alias("row"))
+    marked = marked.select("row", digest(F.col("row.text")).alias("digest"), F.col("row.doc_id").cast("long").alias("id"))
+    joined = marked.join(kept, (F.col("digest") == F.col("kept_digest")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    once = joined.filter("times = 1").select("row.*")
+    again = joined.filter("times > 1").dropDuplicates(["digest", "id"]).select("row.*")
     return once.unionByName(again)

@@ -1,7 +1,9 @@
 """Order MinHash document fingerprints, with DataFrame functions only.
 
-A text is split at spaces (where pieces are long on average, also every 16 characters); its k-mers are
-``K`` consecutive words. Equal k-mers are told apart by their occurrence number. Every (k-mer,
+A text is split by its content alone, by one rule for all texts (``TOKEN``): white space separates, in runs
+of Latin letters, digits and signs a piece of five characters or more ends behind the next of
+``aeo0369``, and every character of another script is a piece. So an edit changes the pieces around it
+and no others, with or without spaces. K-mers are ``K`` consecutive pieces. Equal k-mers are told apart by their occurrence number. Every (k-mer,
 occurrence) gets a hash that names one of ``BINS`` bins and a rank in it. Each bin selects its
 ``L`` smallest elements, puts them back in text order and hashes the tuple, so a signature entry
 agrees only where the same k-mers were selected *in the same order*, which is what makes it
@@ -13,7 +15,7 @@ candidates (the smallest ranks); where a bin gets fewer than ``L`` of them the t
 with all elements, so the selection is always exact. No row is exploded and nothing but the text
 itself and a third of its neighbour's is shuffled.
 
-Defined results: null is the empty text, whose only word is empty; equal texts have equal
+Defined results: null is the empty text; a text without a piece has one empty piece; equal texts have equal
 fingerprints; rows that share an id stand in for each other (the largest value is the neighbour
 that others see); a null id sorts before all numbers; extra columns are not read.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import materialise
 
-K, L, BINS, KEPT = 3, 2, 32, 400
+K, L, BINS, KEPT = 4, 2, 32, 400
 #: An element is 64 bits: its bin (5), its rank in the bin (31), its k-mer's position in the text (28).
 _POS, _RANK = 28, 31
 _ALL = 2**_RANK
@@ -36,10 +38,15 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+#: Runs of Latin without a character to end a piece are cut after 40; that takes 40 characters without one.
+TOKEN = (
+    r"[\\x{0250}-\\x{10FFFF}]|[^\\s\\x{0250}-\\x{10FFFF}]{4,40}?[aeoAEO0369]|[^\\s\\x{0250}-\\x{10FFFF}]{1,40}+"
+)
+
+
 def _words(text: str) -> str:
-    """Pieces between spaces; where those have over 40 bytes on average, also cut every 16 characters."""
-    cut = f"split(regexp_replace({text}, '([^ ]{{16}})(?=[^ ])', '$1 '), ' ')"
-    return _let("ws", f"split({text}, ' ')", f"IF(40 * size(ws) < octet_length({text}), {cut}, ws)")
+    """The pieces of a text."""
+    return _let("ws", f"regexp_extract_all({text}, '{TOKEN}', 0)", "IF(size(ws) = 0, array(''), ws)")
 
 
 def _sorted_kmers(words: str) -> str:

@@ -20,7 +20,8 @@ have equal anchors, and about one position in sixteen is an anchor. Then:
 Exact copies are one text here (each task sends a text once), and whole copies of a smaller id are
 removed whole. Defined results: null is the empty text; texts under ``LENGTH`` bytes lose nothing,
 copies too; rows with a null id neither lose nor take anything; rows that repeat an id and a text
-get the same result each; extra columns are not read.
+get the same result each; different texts of one id are judged one by one, and none repeats another
+of its own id; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -318,17 +319,18 @@ def _send_runs(parts: int):
         repeated = np.sort(np.concatenate([_undelta(x) for x in answers.column("repeated").to_pylist()]))
         if not len(repeated):
             return empty
-        keys, ids, starts, hashes = [], [], [], []
-        for doc_id, _, data in _texts(texts):
+        keys, ids, rows_of_text, starts, hashes = [], [], [], [], []
+        for row, (doc_id, _, data) in enumerate(_texts(texts)):
             at, first, last, h = anchors(data)
             short = h >> np.uint64(64 - _HASH_BITS)
             k = np.minimum(np.searchsorted(repeated, short), len(repeated) - 1)
             on = repeated[k] == short
             keys.append(_keys(data, at[on], first[on], last[on]))
             ids.append(np.full(int(on.sum()), doc_id, np.int64))
+            rows_of_text.append(np.full(int(on.sum()), row, np.int64))
             starts.append(first[on])
             hashes.append(h[on])
-        keys, ids, starts, hashes = (np.concatenate(x) for x in (keys, ids, starts, hashes))
+        keys, ids, rows_of_text, starts, hashes = (np.concatenate(x) for x in (keys, ids, rows_of_text, starts, hashes))
         part = (hashes % np.uint64(parts)).astype(np.int64)
         flat = np.ascontiguousarray(keys).view(f"S{_KEY}").reshape(-1)
         order = np.argsort(flat, kind="stable")
@@ -339,7 +341,7 @@ def _send_runs(parts: int):
             fresh = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             low, high = np.minimum.reduceat(ids[rows_of], fresh), np.maximum.reduceat(ids[rows_of], fresh)
             counts = np.diff(np.concatenate((fresh, [len(own)])))
-            places = np.stack((np.repeat(np.arange(len(fresh)), counts), ids[rows_of], starts[rows_of]))
+            places = np.stack((np.repeat(np.arange(len(fresh)), counts), ids[rows_of], rows_of_text[rows_of], starts[rows_of]))
             rows.append((int(p), front_code(keys[rows_of[fresh]], low, high), zstandard.compress(places.astype("<i8").tobytes(), 1)))
         g = texts.column("g")[0].as_py()
         cols = list(zip(*rows, strict=True))
@@ -354,19 +356,19 @@ def _groups(ranked: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, list[np.
 
 
 def _give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, spans): the answers given to the occurrences; spans are (id, start, end) of 8 bytes each."""
+    """(g, spans): the answers given to the occurrences; spans are (text's number in its bucket, start, end) of 8 bytes each."""
     for b in batches:
         out = []
         for told, places in zip(b.column("told").to_pylist(), b.column("places").to_pylist(), strict=True):
             item, first, last, low = np.frombuffer(told, "<i8").reshape(-1, 4).T
-            of, ids, starts = np.frombuffer(zstandard.decompress(places), "<i8").reshape(3, -1)
+            of, ids, texts, starts = np.frombuffer(zstandard.decompress(places), "<i8").reshape(4, -1)
             lo, hi = np.searchsorted(of, item), np.searchsorted(of, item, "right")
             n = hi - lo
             k = np.repeat(np.arange(len(item)), n)
             at = lo[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
             on = ids[at] > low[k]
             at, k = at[on], k[on]
-            spans = np.stack((ids[at], starts[at] + first[k], starts[at] + last[k] + LENGTH))
+            spans = np.stack((texts[at], starts[at] + first[k], starts[at] + last[k] + LENGTH))
             out.append(zstandard.compress(spans.tobytes(), 1))
         yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(out, pa.binary())], ["g", "spans"])
 
@@ -385,11 +387,11 @@ def _finish(texts: pa.Table, spans: pa.Table) -> pa.Table:
     if blobs:
         every = np.concatenate(blobs, axis=1)
         every = every[:, np.argsort(every[0], kind="stable")]
-        ids, first = np.unique(every[0], return_index=True)
-        by = dict(zip(ids.tolist(), np.split(every, first[1:], axis=1), strict=True))
+        numbers, first = np.unique(every[0], return_index=True)
+        by = dict(zip(numbers.tolist(), np.split(every, first[1:], axis=1), strict=True))
     rows = []
-    for doc_id, digest, data in _texts(texts) if texts.num_rows else ():
-        cut = union_spans(by[doc_id][1], by[doc_id][2]) if doc_id in by else []
+    for row, (doc_id, digest, data) in enumerate(_texts(texts) if texts.num_rows else ()):
+        cut = union_spans(by[row][1], by[row][2]) if row in by else []
         kept, at = hashlib.sha256(), 0
         for s, e in cut:
             kept.update(data[at:s])

@@ -12,7 +12,9 @@ exclamation marks, of digits, and of obfuscated tokens; length.
 
 Defined results: null text is the empty text and gets a score too; rows without label are scored
 only; if the labels lack a class the score is their mean (0 without labels). Ids, languages and
-sources are never read as features; a null id is not held out.
+sources are never read as features; a null id is not held out. Rows that repeat an id get a score
+each; for fitting, one of an id's texts (the smallest) stands for it. An empty table gives no row. Extra
+columns are not read, and ``keep_clean`` keeps them. Work is in proportion to a text's length.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ SECOND_PERSON = frozenset(
     "tú ti usted ustedes vosotros tus".split()
 )
 _LEET = str.maketrans("013457@$!", "oieastasi", "*._-")
-_ODD = re.compile(r"[^\W\d_]+(?:[0-9@$!*._-]+[^\W\d_]+)+")
+#: Starts only where a run of letters starts, and runs give nothing back, so the work is linear.
+_ODD = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!*._-]++[^\W\d_]++)+")
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"\b[A-Z]{3,}\b")
 _UPPER = np.arange(65, 91)
@@ -282,10 +285,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, **options
     """Fit on at most ``max_rows`` labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
+    drawn = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = [(r["text"], r["toxic"], r["doc_id"]) for r in texts.toLocalIterator()]
-    rows = sorted(rows, key=lambda r: (r[2] * 0x9E3779B97F4A7C15 % 2**64, r[0] or "", r[1]))[: 2 * max_rows]
+    rows.sort(key=lambda r: (r[2] * 0x9E3779B97F4A7C15 % 2**64, r[0] or "", r[1]))
     return fit([r[:2] for r in rows], **options)
 
 

@@ -18,10 +18,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -34,6 +35,11 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 _ORIGIN = uuid.UUID("5f0d9f3c-7f0b-4a5e-9a6e-0c3f7f1f2b11")
 
 
+#: A URL is written as it is; one with spaces or control characters has these and % escaped, and a header says so.
+_BREAKS = re.compile(r"[\x00-\x20\x7f]")
+_UNSAFE = re.compile(r"[\x00-\x20\x7f%]")
+
+
 class WarcError(ValueError):
     """A record that breaks the format or fails its digest."""
 
@@ -67,7 +73,7 @@ def page_record(page_id, url: str | None, html: str | None, digest: str, first)
     ``first`` is None for a response.
     """
     payload = (html or "").encode("utf-8", "surrogatepass")
-    uri = quote(url or "", safe=":/?#[]@!$&'()*+,;=%~")
+    uri = _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url) if url and _BREAKS.search(url) else url or ""
     ident = lambda i: f"<urn:uuid:{uuid.uuid5(_ORIGIN, str(i))}>"
     headers = [
         ("WARC-Type", "response" if first is None else "revisit"),
@@ -79,6 +85,8 @@ def page_record(page_id, url: str | None, html: str | None, digest: str, first)
         ("X-Payload-Length", str(len(payload))),
         ("Content-Type", "application/http; msgtype=response"),
     ]
+    if uri != (url or ""):
+        headers.append(("X-Target-Escaped", "1"))
     if first is not None:
         headers += [
             ("WARC-Profile", REVISIT_PROFILE),
@@ -141,7 +149,7 @@ class _Members:
 def _headers(block: bytes) -> dict[str, str]:
     lines = block.decode("utf-8", "replace").split("\r\n")
     pairs = (x.split(":", 1) for x in lines[1:] if ":" in x)
-    return {k.strip().lower(): v.strip() for k, v in pairs}
+    return {k.strip(" \t").lower(): v.strip(" \t") for k, v in pairs}
 
 
 def read_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -178,8 +186,11 @@ def _writer(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name = f"{folder}/part-{TaskContext.get().partitionId():05d}.warc.gz"
-        out, count, local = None, 0, name.startswith("file:") or "://" not in name
+        local = folder.startswith("file:") or "://" not in folder
+        # a store without rename gets a file per attempt; only the attempt that ends well is listed
+        attempt = "" if local else f"-{uuid.uuid4().hex}"
+        name = f"{folder}/part-{TaskContext.get().partitionId():05d}{attempt}.warc.gz"
+        out, count = None, 0
         plain = "/" + name[5:].lstrip("/") if name.startswith("file:") else name
         temp = f"{plain}.{uuid.uuid4().hex}.tmp" if local else name
         for b in batches:
@@ -223,7 +234,11 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     return materialise(seen.mapInArrow(_writer(folder), "path string, records long"), "warc-list")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reader(with_payload: bool):
+    return lambda batches: _read(batches, with_payload)
+
+
+def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
     names = ("page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload")
     kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
     number = lambda x: int(x) if x else None
@@ -239,24 +254,29 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for h, payload in read_records(source):
                     kind = h.get("warc-type")
                     size = int(h["x-payload-length"]) if kind == "revisit" else len(payload)
+                    url = h.get("warc-target-uri", "")
+                    payload = payload if with_payload else None
                     rows.append((
-                        number(h.get("x-page-id")), unquote(h.get("warc-target-uri", "")), kind,
+                        number(h.get("x-page-id")), unquote(url) if "x-target-escaped" in h else url, kind,
                         h.get("warc-payload-digest", "").removeprefix("sha1:"), size,
                         number(h.get("x-refers-to-page")), payload,
                     ))
-                    held += len(payload)
+                    held += len(payload or b"")
                     if held > 1 << 22 or len(rows) >= 2000:
                         yield pack(rows)
                         rows, held = [], 0
             yield pack(rows)
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """Records of the archives in ``archives.path``, one task per few archives."""
+def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
+    """Records of the archives in ``archives.path``, one task per few archives.
+
+    Digests are verified in any case; without ``with_payload`` that column is null.
+    """
     spark: SparkSession = archives.sparkSession
     paths = archives.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
     return paths.mapInArrow(
-        _read,
+        _reader(with_payload),
         "page_id long, url string, record_type string, payload_digest string, payload_bytes long, "
         "refers_to long, payload binary",
     )

@@ -58,3 +58,54 @@ def test_nulls_ties_and_empty(spark):
     out = P.fingerprint_edits(frame(spark, rows))
     assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in out.collect()) == [(0, 7), (1, 0), (1, 0), (2, 1)]
     assert P.fingerprint_edits(frame(spark, rows[:1])).filter(F.col("near_next") == 1).count() == 1
+
+
+def _print_by_hand(text):
+    """Order MinHash by its definition: (k-mer, occurrence) pairs, the smallest L of each bin in text order."""
+    import re
+
+    import xxhash
+
+    def chain(*values):
+        h = 42
+        for v in values:
+            raw = v.encode() if isinstance(v, str) else v
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+        return h
+
+    pattern = P.TOKEN.replace("\\\\", "\\").replace("\\x{0250}", "\u0250").replace("\\x{10FFFF}", "\U0010ffff")
+    pieces = re.findall(pattern, text, re.ASCII) or [""]
+    seen, elements = {}, []
+    for i in range(len(pieces)):
+        kmer = chain(*pieces[i : i + P.K]) >> 28
+        signed = kmer - (1 << 36) if kmer >> 35 else kmer
+        seen[kmer] = n = seen.get(kmer, 0) + 1
+        h = kmer if n == 1 else chain(signed.to_bytes(8, "little", signed=True), n.to_bytes(4, "little")) >> 28
+        elements.append((h >> 31, h & (2**31 - 1), i, h))
+    out = []
+    for b in range(P.BINS):
+        chosen = sorted((r, i, h) for own, r, i, h in elements if own == b)[: P.L]
+        order = [h - (1 << 36) if h >> 35 else h for _, i, h in sorted(chosen, key=lambda x: x[1])]
+        entry = f"{chain(*(h.to_bytes(8, 'little', signed=True) for h in order)):016x}"[-8:]
+        out.append(entry if chosen else "-" * 8)
+    return "".join(out)
+
+
+def test_equals_order_minhash_by_its_definition(spark):
+    rng = random.Random(2)
+    texts = ["", "a b c", "the " * 900, words(rng, 30, 10), words(rng, 2000, 10**6), words(rng, 1500, 6), "日本語" * 200, "q" * 500, "x y " * 50 + words(rng, 100)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = {r["i"]: r["p"] for r in df.select("i", P.fingerprint("t").alias("p")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == _print_by_hand(t), t[:40]
+
+
+def test_texts_without_spaces_or_with_long_words_keep_their_likeness(spark):
+    rng = random.Random(1)
+    run = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    cjk, plain = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(3000)), run(letters, 3000)
+    long_words = " ".join(run(letters, 39) for _ in range(200))
+    pairs = [(cjk, "x" + cjk), (plain, "q" + plain), (long_words, long_words + " " + "z" * 60)]
+    df = spark.createDataFrame(pairs, "a string, b string").withColumn("x", P.fingerprint("a")).withColumn("y", P.fingerprint("b"))
+    assert all(r[0] > 0.9 for r in df.select(P.likeness("x", "y")).collect())

@@ -62,3 +62,12 @@ def test_merge_is_a_sorted_merge_with_right_prefixes():
         out.append(key)
         before = key
     assert out == sorted(every)
+
+
+def test_texts_that_share_an_id_are_judged_one_by_one(spark):
+    rng = random.Random(3)
+    part = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    a, y = part(400), part(500)
+    rows = [(1, a, *[None] * 5), (5, part(50) + a + part(50), *[None] * 5), (5, y, *[None] * 5), (5, part(200) + y[:100], *[None] * 5)]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in S.remove_repeats(frame(spark, rows)).collect())
+    assert got == [(1, 400, 0), (5, 300, 0), (5, 500, 0), (5, 500, 400)]

@@ -62,3 +62,13 @@ def test_nearness_is_of_all_hits():
     # whole words only, at most 80 characters away
     for gap, want in ((70, 1.0), (90, 0.0)):
         assert X.features("you " + "x" * gap + " plonker", lexicon)[7] == want
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    lexicon = X.Lexicon({"bad": 1.0}, {"stem": 1.0})
+    for text in ("x" * 1_000_000 + "1", "a1" * 300_000, "$" * 1_000_000, "bad you " * 100_000, "a-" * 300_000 + " 7"):
+        began = time.time()
+        X.features(text, lexicon)
+        assert time.time() - began < 20, text[:20]

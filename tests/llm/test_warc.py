@@ -44,3 +44,10 @@ def test_reader_checks_framing_and_digest():
             list(R.read_records(io.BytesIO(gzip.compress(bad))))
     with pytest.raises(R.WarcError):
         list(R.read_records(io.BytesIO(good[:-20])))
+
+
+def test_urls_come_back_unchanged(spark):
+    urls = ["http://a/b%20c", "http://a/%2F%2f?x=%zz#y", "http://a/b c\td", "http://a/50% off ", " lead", "", "http://ä/日本?q=1&r=%"]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["url"] for r in R.read_archives(R.write_archives(pages), with_payload=False).collect()}
+    assert [got[i] for i in range(len(urls))] == urls
