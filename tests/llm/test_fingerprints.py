@@ -80,7 +80,7 @@ def _print_by_hand(text):
         kmer = chain(*pieces[i : i + P.K]) >> 28
         signed = kmer - (1 << 36) if kmer >> 35 else kmer
         seen[kmer] = n = seen.get(kmer, 0) + 1
-        h = kmer if n == 1 else chain(signed.to_bytes(8, "little", signed=True), n.to_bytes(4, "little")) >> 28
+        h = kmer if n == 1 else chain(signed.to_bytes(8, "little", signed=True), (n - 1).to_bytes(4, "little")) >> 28
         elements.append((h >> 31, h & (2**31 - 1), i, h))
     out = []
     for b in range(P.BINS):
