@@ -89,6 +89,17 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id::BIGINT AS page_id, encode(coalesce(html, '')) AS b FROM pages),
+        h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS first FROM p)
+        SELECT page_id, payload_bytes,
+          array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            (((instr('0123456789abcdef', substr(h, (5 * i) // 4 + 1, 1)) - 1) * 16 + instr('0123456789abcdef', substr(h, (5 * i) // 4 + 2, 1)) - 1)
+              >> (3 - (5 * i) % 4)::INT & 31)::INT + 1, 1)), '') AS payload_digest,
+          CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM h
+    """,
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
