@@ -91,8 +91,7 @@ def phonetics_of_names(spark, d):
 
 
 def ngram_keys_of_names(spark, d):
-    first = part_names(spark, d).select(F.split("value", " ")[1].alias("value")).distinct()
-    return first.select("value", F.explode(K.ngram_keys(2, "value")).alias("key"))
+    return part_names(spark, d).select("value", F.explode(K.ngram_keys(2, "value")).alias("key"))
 
 
 def sketches_of_benchmark(spark, d):
@@ -108,8 +107,11 @@ def greedy(spark, d, mode):
     return C.clusters_from_pairs(P.segment_pairs(df, 2), mode=mode)
 
 
-def collisions(spark, d, key):
+def collisions(spark, d, key, turned=False):
+    """Collisions of part names; ``turned`` adds each name with its words in reverse, under the negative id."""
     df = numbered_names(spark, d)
+    if turned:
+        df = df.unionByName(df.select((-F.col("id")).alias("id"), F.array_join(F.reverse(F.split("value", " ")), " ").alias("value")))
     found = C.key_collision(df, key=key)
     first = found.groupBy("cluster_id").agg(F.min("id").alias("first"))
     return found.join(first, "cluster_id").select(F.col("first").alias("cluster_id"), "id")
@@ -183,7 +185,7 @@ QUERIES = {
     "ngram_keys": ngram_keys_of_names,
     "sketches": sketches_of_benchmark,
     "key_collision_first_word": lambda s, d: collisions(s, d, lambda v: F.split(v, " ")[0]),
-    "key_collision_fingerprint": lambda s, d: collisions(s, d, lambda v: T.fingerprint(F.split(v, " ")[1])),
+    "key_collision_fingerprint": lambda s, d: collisions(s, d, T.fingerprint, turned=True),
     "key_collision_merged": lambda s, d: _sized(C.key_collision(numbered_names(s, d), keys=lambda v: F.split(v, " "), merge=True)),
     "components_levenshtein_2": lambda s, d: _sized(C.component_clusters(P.segment_pairs(numbered_names(s, d), 2))),
     "fuzzy_clusters": lambda s, d: greedy(s, d, "fuzzy_clusters"),
@@ -199,7 +201,7 @@ QUERIES = {
     "projection_jaccard": lambda s, d: graph.monopartite_projection(*suppliers(s, d), "supplier", "jaccard", 0.1),
     "projection_cosine": lambda s, d: graph.monopartite_projection(*bipartite(s, d), "brand", "cosine"),
     "floatsam": thresholded,
-    "component_sizes": lambda s, d: (lambda n, e: graph.component_sizes(n, e.filter("weight >= 5")).select("size"))(*bipartite(s, d)),
+    "component_sizes": lambda s, d: (lambda n, e: graph.component_sizes(n, e).select("size"))(*suppliers(s, d)),
     "best_matching": evaluation,
     "labels_to_clusters": lambda s, d: evaluate.labels_to_clusters(_read(s, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("cluster"))).select(F.col("cluster").cast("long").alias("cluster"), F.size("items").cast("long").alias("n"), F.array_min("items").alias("first")),
     "split_column": lambda s, d: tables.split_column(_read(s, d, "part").select("p_partkey", "p_name"), "p_name", " "),
@@ -308,7 +310,9 @@ ORACLES = {
     "sparse_metrics": _SPARSE,
     "keys_of_names": _KEYS,
     "key_collision_first_word": f"WITH {_IDS}, k AS (SELECT *, min(id) OVER w AS c, count(*) OVER w AS m FROM n WINDOW w AS (PARTITION BY string_split(s, ' ')[1])) SELECT c AS cluster_id, id FROM k WHERE m > 1",
-    "key_collision_fingerprint": f"WITH {_IDS}, k AS (SELECT *, min(id) OVER w AS c, count(*) OVER w AS m FROM n WINDOW w AS (PARTITION BY string_split(s, ' ')[2])) SELECT c AS cluster_id, id FROM k WHERE m > 1",
+    "key_collision_fingerprint": f"""WITH {_IDS}, v AS (SELECT s, id FROM n UNION ALL SELECT array_to_string(list_reverse(string_split(s, ' ')), ' '), -id FROM n),
+        k AS (SELECT *, min(id) OVER w AS c, count(*) OVER w AS m FROM v WINDOW w AS (PARTITION BY array_to_string(list_sort(list_distinct(string_split(s, ' '))), ' ')))
+        SELECT c AS cluster_id, id FROM k WHERE m > 1""",
     "key_collision_merged": _COMPONENTS.format(link="len(list_intersect(string_split(a.s, ' '), string_split(b.s, ' '))) > 0"),
     "components_levenshtein_2": _COMPONENTS.format(link="levenshtein(a.s, b.s) <= 2"),
     "laesa": _COMPONENTS.format(link="levenshtein(a.s, b.s) <= 2"),
@@ -329,6 +333,14 @@ ORACLES = {
     "labels_to_clusters": "SELECT label::BIGINT AS cluster, count(*) AS n, min(vec_id) AS first FROM embeddings GROUP BY 1",
     "split_column": "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS p_name FROM part",
     "transform_column": "SELECT n_name, lower(trim(n_name)) || '!' AS made FROM nation",
+    "ngram_keys": f"""WITH {_NAMES}, g AS (SELECT s, list_transform(range(1, length(s)), lambda i: substr(s, i, 2)) AS g FROM n),
+        m AS (SELECT s, g, unnest(range(1, (1 << len(g)))) AS mask FROM g)
+        SELECT s AS value, array_to_string(list_filter(g, lambda x, i: ((mask >> (i - 1)) & 1) = 1), '') AS key FROM m
+        WHERE bit_count(mask::BIGINT) >= greatest(1, floor(len(g) * 0.8::DOUBLE))""",
+    "component_sizes": f"""WITH RECURSIVE {_SUPPLIERS.split(", k AS")[0].strip().rstrip(",")} , l AS (SELECT s AS x, 'p' || p AS y FROM e UNION ALL SELECT 'p' || p, s FROM e),
+        t(id, step, c) AS (SELECT DISTINCT x, 0, x FROM l UNION ALL
+          SELECT l.x, max(t.step) + 1, min(least(t.c, o.c)) FROM l JOIN t ON t.id = l.y JOIN t o ON o.id = l.x WHERE t.step < 8 GROUP BY l.x)
+        SELECT count(*) AS size FROM t WHERE step = 8 GROUP BY c""",
     "key_counts": "SELECT upper(event_type) AS key, count(*) AS n FROM events GROUP BY 1",
     "online_mean": "SELECT event_type, round(avg(value), 6) AS mean FROM events GROUP BY 1",
 }
