@@ -108,13 +108,13 @@ def greedy(spark, d, mode):
 
 
 def collisions(spark, d, key, turned=False):
-    """Collisions of part names; ``turned`` adds each name with its words in reverse, under the negative id,
+    """Collisions of part names; ``turned`` adds each name with its words in reverse, under the id -1 - id,
     where that is no name itself.
     """
     df = numbered_names(spark, d)
     if turned:
         words = F.array_join(F.reverse(F.split("value", " ")), " ").alias("value")
-        df = df.unionByName(df.select((-F.col("id")).alias("id"), words).join(df.select("value"), "value", "left_anti"))
+        df = df.unionByName(df.select((-1 - F.col("id")).alias("id"), words).join(df.select("value"), "value", "left_anti"))
     found = C.key_collision(df, key=key)
     first = found.groupBy("cluster_id").agg(F.min("id").alias("first"))
     return found.join(first, "cluster_id").select(F.col("first").alias("cluster_id"), "id")
@@ -313,7 +313,7 @@ ORACLES = {
     "sparse_metrics": _SPARSE,
     "keys_of_names": _KEYS,
     "key_collision_first_word": f"WITH {_IDS}, k AS (SELECT *, min(id) OVER w AS c, count(*) OVER w AS m FROM n WINDOW w AS (PARTITION BY string_split(s, ' ')[1])) SELECT c AS cluster_id, id FROM k WHERE m > 1",
-    "key_collision_fingerprint": f"""WITH {_IDS}, v AS (SELECT s, id FROM n UNION ALL SELECT array_to_string(list_reverse(string_split(s, ' ')), ' '), -id FROM n WHERE array_to_string(list_reverse(string_split(s, ' ')), ' ') NOT IN (SELECT s FROM n)),
+    "key_collision_fingerprint": f"""WITH {_IDS}, v AS (SELECT s, id FROM n UNION ALL SELECT array_to_string(list_reverse(string_split(s, ' ')), ' '), -1 - id FROM n WHERE array_to_string(list_reverse(string_split(s, ' ')), ' ') NOT IN (SELECT s FROM n)),
         k AS (SELECT *, min(id) OVER w AS c, count(*) OVER w AS m FROM v WINDOW w AS (PARTITION BY array_to_string(list_sort(list_distinct(string_split(s, ' '))), ' ')))
         SELECT c AS cluster_id, id FROM k WHERE m > 1""",
     "key_collision_merged": _COMPONENTS.format(link="len(list_intersect(string_split(a.s, ' '), string_split(b.s, ' '))) > 0"),
