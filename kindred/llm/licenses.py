@@ -6,12 +6,16 @@ substring that ends there (matching statistics). Two things are read off:
 
 * base phrases: a phrase ends at a word exactly if its state is the current state or one of its
   suffix-link ancestors (and the match is long enough), so all places are found in the same pass;
-* covered spans: matches of at least ``min_match`` words that cannot be extended are chained if they
-  are at most ``max_gap`` words apart, come from the same template and run forward in it. A chain
-  that covers ``min_cover`` of the template adds the template's label.
+* covered spans: for each template, matches with it of at least ``min_match`` words that cannot be
+  extended in it are chained if they are at most ``max_gap`` words apart and run forward in it. A
+  chain that covers ``min_cover`` of the template adds the template's label. Words that several
+  templates share count for each of them: a state knows all templates and places where it ends, and
+  its suffix-link ancestors those templates that match only its last words.
 
 Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Null text is the empty text: no
-words, no labels. Very long texts are streamed with a constant state besides their words.
+words, no labels, score 0. Very long texts are streamed with a constant state besides their words.
+A null id stays null; rows that repeat an id or a text are scanned one by one and give a row each. An
+empty table gives an empty result. Extra columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -45,24 +49,24 @@ TEMPLATES = {
 
 
 class SuffixAutomaton:
-    """Suffix automaton of several token sequences; ``end`` is a (sequence, position) of a state."""
+    """Suffix automaton of several token sequences; ``own`` are the (sequence, position) of prefixes that a state holds."""
 
     def __init__(self):
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.end: list[tuple[int, int]] = [(-1, -1)]
+        self.own: list[list[tuple[int, int]]] = [[]]
 
-    def _state(self, length: int, link: int, edges: dict[int, int], end: tuple[int, int]) -> int:
+    def _state(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.next.append(edges)
         self.link.append(link)
         self.length.append(length)
-        self.end.append(end)
+        self.own.append([])
         return len(self.length) - 1
 
     def _split(self, p: int, q: int, token: int) -> int:
         """Give the strings of q that end with p's strings and the token a state of their own."""
-        twin = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]), self.end[q])
+        twin = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
         self.link[q] = twin
         while p != -1 and self.next[p].get(token) == q:
             self.next[p][token] = twin
@@ -75,8 +79,9 @@ class SuffixAutomaton:
             there = self.next[last].get(token)
             if there is not None:
                 last = there if self.length[there] == self.length[last] + 1 else self._split(last, there, token)
+                self.own[last].append((number, at))
                 continue
-            new = self._state(self.length[last] + 1, 0, {}, (number, at))
+            new = self._state(self.length[last] + 1, 0, {})
             p = last
             while p != -1 and token not in self.next[p]:
                 self.next[p][token] = new
@@ -85,6 +90,23 @@ class SuffixAutomaton:
                 q = self.next[p][token]
                 self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, token)
             last = new
+            self.own[last].append((number, at))
+
+    def ends(self, least: int) -> list[dict[int, list[int]]]:
+        """Per state of ``least`` tokens or more: all places where it ends, by sequence, in order."""
+        found: list[dict[int, list[int]]] = [{} for _ in self.length]
+        for s in sorted(range(len(self.length)), key=self.length.__getitem__, reverse=True):
+            if self.length[s] < least:
+                break
+            for number, at in self.own[s]:
+                found[s].setdefault(number, []).append(at)
+            for places in found[s].values():
+                places.sort()
+            if self.link[s] > 0:
+                above = found[self.link[s]]
+                for number, places in found[s].items():
+                    above.setdefault(number, []).extend(places)
+        return found
 
 
 @dataclass
@@ -126,66 +148,88 @@ class LicenseScanner:
                 at = a.link[at]
             self.ending.append(got)
 
+        #: per state: (template, longest match with it, where that ends in it), for the templates of the state
+        #: and those that only its ancestors are in
+        ends = a.ends(self.min_match)
+        self.near: list[list[tuple[int, int, list[int]]]] = []
+        for s in range(len(a.length)):
+            seen: dict[int, tuple[int, list[int]]] = {}
+            at = s
+            while at > 0 and a.length[at] >= self.min_match:
+                for t, places in ends[at].items():
+                    if t < self.n_templates:
+                        seen.setdefault(t, (a.length[at], places))
+                at = a.link[at]
+            self.near.append([(t, longest, places) for t, (longest, places) in seen.items()])
+
     def scan(self, text: str | None) -> Found:
         words = words_of(text)
         found = Found(len(words))
+        for t, matches in self.matches(words, found.base).items():
+            found.spans += self._chain(t, matches)
+        found.spans.sort()
+        return found
+
+    def matches(self, words: list[bytes], base: list[tuple[int, str]]) -> dict[int, list[tuple[int, int, list[int]]]]:
+        """Per template its long matches (end word, words, places where they end in it); phrases go to ``base``."""
         a, ids = self.automaton, self.ids
         edges, link, lengths, ending = a.next, a.link, a.length, self.ending
         state = length = 0
-        long: list[tuple[int, int, int]] = []
+        running: dict[int, tuple[int, list[int]]] = {}
+        long: dict[int, list[tuple[int, int, list[int]]]] = {}
         for i, w in enumerate(words):
             token = ids.get(w)
-            to = None if token is None else edges[state].get(token)
-            if to is None:
-                if length >= self.min_match:
-                    long.append((i, length, state))
-                if token is None:
-                    state = length = 0
-                    continue
+            if token is None:
+                state = length = 0
+            else:
                 while state > 0 and token not in edges[state]:
                     state = link[state]
                     length = lengths[state]
                 to = edges[state].get(token)
-                if to is None:
-                    state = length = 0
-                    continue
-            state = to
-            length += 1
-            if ending[state]:
-                for size, label in ending[state]:
-                    if size <= length:
-                        found.base.append((i + 1 - size, label))
-        if length >= self.min_match:
-            long.append((len(words), length, state))
-        if long:
-            self._chain(long, found)
-        return found
+                state, length = (0, 0) if to is None else (to, length + 1)
+            if running or length >= self.min_match:
+                running = self._extend(running, state, length, i, long)
+            for size, label in ending[state]:
+                if size <= length:
+                    base.append((i + 1 - size, label))
+        self._extend(running, 0, 0, len(words), long)
+        return long
 
-    def _chain(self, matches: list[tuple[int, int, int]], found: Found) -> None:
-        """Matches are (end word, words, state); one chain is open per template."""
-        open_: dict[int, list[int]] = {}
+    def _extend(self, running, state: int, length: int, end: int, long) -> dict[int, tuple[int, list[int]]]:
+        """The templates' matches that end with this word; matches up to ``end`` that it does not extend go to ``long``."""
+        now = {}
+        if length >= self.min_match:
+            now = {t: (min(length, longest), places) for t, longest, places in self.near[state]}
+        for t, (size, places) in running.items():
+            if t not in now or now[t][0] != size + 1:
+                long.setdefault(t, []).append((end, size, places))
+        return now
 
-        def close(t: int) -> None:
-            start, end, _, covered = open_.pop(t)
-            if covered >= self.min_cover * self.sizes[t]:
-                found.spans.append((start, end, self.labels[t], covered / self.sizes[t]))
+    def _chain(self, t: int, matches: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, str, float]]:
+        """Spans of one template. Matches are (end word, words, places in the template), by end word.
 
-        for end, size, state in matches:
-            t, last = self.automaton.end[state]
-            if t >= self.n_templates:
-                continue
-            here = open_.get(t)
-            if here and (end - size - here[1] > self.max_gap or last <= here[2]):
-                close(t)
-                here = None
-            if here is None:
-                open_[t] = [end - size, end, last, size]
-            else:
-                gained = min(size, end - here[1], last - here[2])
-                open_[t] = [here[0], end, last, here[3] + max(0, gained)]
-        for t in list(open_):
-            close(t)
-        found.spans.sort()
+        A match goes to the first place that adds all its words, else to the last one behind the chain.
+        """
+        spans, chain = [], None
+        for end, size, places in matches:
+            at = places[0]
+            if chain:
+                start, stop, last, covered = chain
+                new = min(size, end - stop)
+                at = next((p for p in places if p - last >= new), places[-1])
+                if end - size - stop <= self.max_gap and at > last:
+                    chain = (start, end, at, covered + min(new, at - last))
+                    continue
+                spans.append(chain)
+                at = places[0]
+            chain = (end - size, end, at, size)
+        if chain:
+            spans.append(chain)
+        return [
+            (start, stop, self.labels[t], covered / self.sizes[t])
+            for start, stop, _, covered in spans
+            if covered >= self.min_cover * self.sizes[t]
+        ]
 
 
 SCHEMA = (
