@@ -395,10 +395,12 @@ def nn_descent(
     rho: float = 1.0,
     delta: float = 0.001,
     seed: int = 0,
+    pool: int | None = None,
 ) -> DataFrame:
     """Approximate k nearest neighbours (id_a, id_b, score): neighbours of neighbours, until few change.
 
-    ``rho`` is the share of new edges that each round joins. Each round is written to the shared folder.
+    ``rho`` is the share of new edges that each round joins. The rounds hold the ``pool`` nearest of each
+    id (2 k + 4 unless given), as lists of k alone settle too early. Each round is written to the shared folder.
     """
     import math
 
@@ -407,7 +409,8 @@ def nn_descent(
     n = df.count()
     if n < 2:
         return df.sparkSession.createDataFrame([], "id_a long, id_b long, score double")
-    k = max(1, min(k or int(math.log2(n)), n - 1))
+    wanted = max(1, min(k or int(math.log2(n)), n - 1))
+    k = max(wanted, min(pool or 2 * wanted + 4, n - 1))
     order = ranked(df.select("id", F.xxhash64("id", F.lit(seed)).alias("h")), "h", "id").select("id", "pos")
     start = order.select(F.col("id").alias("id_a"), F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + k)).alias("p"))
     start = start.select("id_a", (F.col("p") % n).alias("pos")).join(order.withColumnRenamed("id", "id_b"), "pos")
@@ -434,7 +437,8 @@ def nn_descent(
         graph = top(cand, graph.select("id_a", "id_b", "score"))
         if graph.filter("new").count() <= delta * n * k:
             break
-    return graph.select("id_a", "id_b", "score")
+    nearest = graph.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= wanted)
+    return nearest.select("id_a", "id_b", "score")
 
 
 # -- vectors in long form (id, term, weight)
@@ -463,12 +467,25 @@ def cosine_nearest(vectors: DataFrame) -> DataFrame:
     return best.select("id", (-F.col("b.m")).alias("nearest"), F.col("b.score").alias("score"))
 
 
-def sqrt_index_pairs(df: DataFrame, similarity: Callable[[Column, Column], Column], seed: int = 0) -> DataFrame:
-    """Candidates by ~sqrt(n) random leaders: rows that have the same most similar leader."""
+def sqrt_index_pairs(df: DataFrame, similarity: Callable[[Column, Column], Column], seed: int = 0, each: int = 3) -> DataFrame:
+    """Candidates by ~sqrt(n) random leaders: token arrays that have one of their ``each`` most similar leaders in common.
+
+    Arrays meet the leaders that they share a token with, by an inverted index of the leaders' tokens. Those
+    that share none with any leader are candidates with each other by their tokens.
+    """
     import math
 
+    from pyspark.sql import Window as W
+
     n = df.count()
     leaders = df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(1, math.isqrt(n)))
-    leaders = leaders.select(F.col("id").alias("leader"), F.col("value").alias("lead"))
-    near = df.join(leaders).groupBy("id").agg(F.max(F.struct(similarity(F.col("value"), F.col("lead")).alias("s"), F.col("leader").alias("l"))).alias("b"))
-    return pairs_from_buckets(near.select("id", F.col("b.l").alias("key")))
+    leaders = materialise(leaders.select(F.col("id").alias("leader"), F.col("value").alias("lead")), "leaders")
+    tokens = df.select("id", F.explode(F.array_distinct("value")).alias("key"))
+    index = leaders.select("leader", F.explode(F.array_distinct("lead")).alias("key"))
+    met = tokens.join(index, "key").select("id", "leader").distinct()
+    scored = met.join(df, "id").join(leaders, "leader").select("id", "leader", similarity(F.col("value"), F.col("lead")).alias("s"))
+    best = W.partitionBy("id").orderBy(F.desc("s"), F.desc("leader"))
+    near = scored.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= each)
+    near = materialise(near.select("id", F.col("leader").alias("key")), "near")
+    alone = tokens.join(near.select("id").distinct(), "id", "left_anti")
+    return pairs_from_buckets(near).union(pairs_from_buckets(alone)).distinct()

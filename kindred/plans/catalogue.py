@@ -155,6 +155,62 @@ def thresholded(spark, d):
     return graph.floatsam_sparsification(own, edges, start=0.9, step=0.01, max_drifter_size=2)
 
 
+def urls(spark, d):
+    return _read(spark, d, "pages").select(F.col("url").alias("value")).distinct()
+
+
+def blocks_of_urls(spark, d):
+    """Blocks of one and two edits, with and without swaps, by content."""
+    kinds = {
+        "1d": K.levenshtein_1d_blocks("value", flag="!"), "1d swaps": K.damerau_levenshtein_1d_blocks("value", flag="!"),
+        "2d": K.levenshtein_2d_blocks("value", flags=("<", "=", ">")), "2d swaps": K.levenshtein_2d_blocks("value", True, ("<", "=", ">")),
+    }
+    each = F.explode(F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*kinds.values()))).alias("kind", "blocks")
+    return urls(spark, d).select("value", each).select("value", "kind", F.explode("blocks").alias("block"))
+
+
+def keys_of_urls(spark, d):
+    """The wildcard neighbourhood by content, with and without swaps."""
+    plain, swaps = K.levenshtein_1d_keys("value", flag="!"), K.damerau_levenshtein_1d_keys("value", flag="!")
+    each = F.explode(F.array(F.struct(F.lit(False).alias("swaps"), plain.alias("keys")), F.struct(F.lit(True).alias("swaps"), swaps.alias("keys")))).alias("k")
+    return urls(spark, d).select("value", each).select("value", "k.swaps", F.explode(F.array_distinct("k.keys")).alias("key"))
+
+
+def set_projections(spark, d):
+    found = [
+        graph.monopartite_projection(*suppliers(spark, d), "supplier", m, 0.05).select(F.lit(m).alias("metric"), "a", "b", "weight")
+        for m in ("dice", "overlap", "binary_cosine")
+    ]
+    return found[0].union(found[1]).union(found[2])
+
+
+def bands(spark, d):
+    """Bands for thresholds, what they find, and at which similarity, for signatures of 64 entries."""
+    rows = [(t / 10, sketch.guess_bands(64, t / 10)) for t in range(2, 10)]
+    rows = [(t, b, sketch.similarity_threshold(64, b), sketch.match_probability(64, b, t)) for t, b in rows]
+    return spark.createDataFrame(rows, "threshold double, bands long, at double, found double").select("threshold", "bands", F.round("at", 9).alias("at"), F.round("found", 9).alias("found"))
+
+
+def simhash_of_benchmark(spark, d):
+    """Simhash signatures, their set bits and their likeness to the next item's."""
+    b = benchmark_words(spark, d).select("id", sketch.simhash("value").alias("s"))
+    both = b.join(b.select((F.col("id") - 1).alias("id"), F.col("s").alias("t")), "id")
+    return both.select("id", *(F.lower(F.lpad(F.hex(F.col("s")[k]), 16, "0")).alias(f"s{k}") for k in (0, 1)),
+                       M.simhash_distance("s", "t").alias("distance"), M.popcount(F.col("s")[0]).cast("long").alias("bits"))
+
+
+def bucket_clusters(spark, d):
+    """Components of URLs within two edits that share host and first folder."""
+    df = urls(spark, d).select(F.col("value").alias("id"), "value")
+    keyed = df.select(F.substring_index("value", "/", 4).alias("key"), "id")
+    return _sized(C.clusters_from_buckets(keyed, df, lambda a, b: F.levenshtein(a, b) <= 2))
+
+
+def labels_of_clusters(spark, d):
+    clusters = evaluate.labels_to_clusters(_read(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("cluster")))
+    return evaluate.clusters_to_labels(clusters).select("item", F.col("cluster").cast("long").alias("cluster"))
+
+
 def _long(*names):
     return [F.col(n).cast("long").alias(n) for n in names]
 
@@ -203,6 +259,14 @@ QUERIES = {
     "projection_count": lambda s, d: graph.monopartite_projection(*suppliers(s, d), "supplier"),
     "projection_jaccard": lambda s, d: graph.monopartite_projection(*suppliers(s, d), "supplier", "jaccard", 0.1),
     "projection_cosine": lambda s, d: graph.monopartite_projection(*bipartite(s, d), "brand", "cosine"),
+    "projection_sets": set_projections,
+    "blocks_of_urls": blocks_of_urls,
+    "keys_of_urls": keys_of_urls,
+    "bands": bands,
+    "simhash_of_benchmark": simhash_of_benchmark,
+    "clusters_from_buckets": bucket_clusters,
+    "clusters_to_labels": labels_of_clusters,
+    "zig_zag": lambda s, d: urls(s, d).select("value", *(k.alias(f"key{i}") for i, k in enumerate(K.zig_zag("value")))),
     "floatsam": thresholded,
     "component_sizes": lambda s, d: (lambda n, e: graph.component_sizes(n, e).select("size"))(*suppliers(s, d)),
     "best_matching": evaluation,
@@ -288,6 +352,80 @@ _COSINE = """WITH v AS ({v}), q AS (SELECT id, sum(w * w) AS q FROM v GROUP BY 1
 _BENCH = "SELECT item_id AS id, t, count(*)::DOUBLE AS w FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS t FROM benchmark) GROUP BY 1, 2"
 _USERS = "SELECT user_id AS id, event_type AS t, count(*)::DOUBLE AS w FROM events GROUP BY 1, 2"
 
+#: Greedy choices step by step: {members} of the next node in {order}, which is in no earlier group's {taken}.
+_GREEDY = """WITH RECURSIVE n AS (SELECT p_name AS s, min(p_partkey) AS id FROM part GROUP BY 1),
+    p AS (SELECT a.id AS x, b.id AS y FROM n a JOIN n b ON a.id < b.id AND levenshtein(a.s, b.s) <= 2),
+    e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+    q AS (SELECT x AS id, x, y, 0 AS z FROM p UNION ALL SELECT y, x, y, 1 FROM p),
+    o AS (SELECT id, min((x, y, z)) AS first FROM q GROUP BY id),
+    g AS (SELECT row_number() OVER (ORDER BY {order}) AS r, id, (SELECT list(y) FROM e WHERE x = id) AS near FROM o),
+    t(r, id, members, taken) AS (SELECT 0::BIGINT, NULL::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL
+      SELECT g.r, g.id, CASE WHEN list_contains(t.taken, g.id) THEN [] ELSE {members} END,
+        CASE WHEN list_contains(t.taken, g.id) THEN t.taken ELSE list_concat(t.taken, list_concat([g.id], {members})) END
+      FROM t JOIN g ON g.r = t.r + 1)
+    SELECT id AS cluster_id, unnest(list_concat([id], members)) AS id FROM t WHERE len(members) > 0"""
+_BALL = "g.near"
+_LEAD = "list_filter(g.near, lambda y: y > g.id AND NOT list_contains(t.taken, y))"
+
+# vowels and letters by their neighbours; runs are joined behind the first code, zeros go
+_PHONETICS = f"""WITH {_NAMES}, l AS (SELECT s, string_split(regexp_replace(replace(upper(s), 'PH', 'F'), '[^A-Z]', '', 'g'), '') AS c FROM n),
+    k AS (SELECT s, starts_with(ltrim(array_to_string(c, ''), 'H'), 'X') AS wide, array_to_string(list_transform(c, lambda x, i: CASE
+        WHEN x IN ('A','E','I','O','U','J','Y') THEN '0' WHEN x = 'H' THEN '' WHEN x IN ('B','P') THEN '1'
+        WHEN x IN ('D','T') THEN CASE WHEN c[i + 1] IN ('C','S','Z') THEN '8' ELSE '2' END
+        WHEN x IN ('F','V','W') THEN '3' WHEN x IN ('G','K','Q') THEN '4' WHEN x = 'L' THEN '5' WHEN x IN ('M','N') THEN '6' WHEN x = 'R' THEN '7'
+        WHEN x = 'X' THEN CASE WHEN i > 1 AND c[i - 1] IN ('C','K','Q') THEN '8' ELSE '48' END
+        WHEN x = 'C' AND i = 1 THEN CASE WHEN c[2] IN ('A','H','K','L','O','Q','R','U','X') THEN '4' ELSE '8' END
+        WHEN x = 'C' THEN CASE WHEN c[i - 1] NOT IN ('S','Z') AND c[i + 1] IN ('A','H','K','O','Q','U','X') THEN '4' ELSE '8' END
+        ELSE '8' END), '') AS code FROM l),
+    f AS (SELECT s, CASE WHEN wide THEN 2 ELSE 1 END AS m, code FROM k),
+    r AS (SELECT s, substr(code, 1, m) AS first, string_split(substr(code, m + 1), '') AS rest FROM f),
+    a AS (SELECT s, regexp_replace(lower(s), '[^a-z]', '', 'g') AS w FROM n),
+    b AS (SELECT s, w, regexp_replace(regexp_replace(regexp_replace(replace(w, 'cz', 'ts'), 'i[jy]$', ''), '[fvw]|ph', 'f', 'g'), '^[jy]?e', 'J') AS v FROM a),
+    c2 AS (SELECT s, w, replace(regexp_replace(regexp_replace(v, '[dt]?[cs]h|tz', 'ʃ', 'g'), '[dt]?(zh|j)', 'ʒ', 'g'), 'ks', 'x') AS v FROM b),
+    d AS (SELECT s, w, replace(regexp_replace(replace(regexp_replace(v, '^y([aeiou])', 'j\\1'), 'iou', 'j'), '[cg]', 'k', 'g'), 'h', '') AS v FROM c2),
+    h AS (SELECT s, w, string_split(v, '') AS v FROM d),
+    j AS (SELECT s, w, lower(array_to_string(list_filter(v, lambda x, i: i = 1 OR x <> v[i - 1]), '')) AS v FROM h)
+    SELECT s AS value, first || replace(array_to_string(list_filter(rest, lambda x, i: i = 1 OR x <> rest[i - 1]), ''), '0', '') AS cologne,
+      CASE WHEN length(w) < 2 THEN w ELSE regexp_replace(v[1], '[aeiouy]', 'a') || regexp_replace(substr(v, 2), '[aeiouy]', '', 'g') END AS rusalka
+    FROM r JOIN j USING (s)"""
+
+_FLOATSAM = f"""WITH RECURSIVE {_BIPARTITE}, q AS (SELECT s, sum(w * w) AS q FROM e GROUP BY 1),
+    p AS (SELECT a.s AS a, b.s AS b, sum(a.w * b.w) AS dot FROM e a JOIN e b ON a.t = b.t AND a.s < b.s GROUP BY 1, 2),
+    x AS (SELECT a, b, dot / sqrt(m.q * o.q) AS weight FROM p JOIN q m ON m.s = a JOIN q o ON o.s = b),
+    y AS (SELECT a, b, weight FROM x UNION ALL SELECT b, a, weight FROM x),
+    ts(k, t) AS (SELECT 0, 0.9::DOUBLE UNION ALL SELECT k + 1, t + 0.01::DOUBLE FROM ts WHERE t <= (SELECT max(weight) FROM x)),
+    r(k, id, c) AS (SELECT ts.k, q.s, q.s FROM ts, q UNION SELECT r.k, y.b, r.c FROM r JOIN ts ON ts.k = r.k JOIN y ON y.a = r.id AND y.weight >= ts.t),
+    z AS (SELECT k, c, count(*) AS n FROM (SELECT k, id, min(c) AS c FROM r GROUP BY 1, 2) GROUP BY 1, 2),
+    u AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY n DESC) AS i, n FROM z),
+    bad AS (SELECT min(k) AS k FROM (SELECT k FROM u WHERE i = 2 AND n >= 2 UNION ALL SELECT k FROM ts WHERE t > (SELECT max(weight) FROM x)) WHERE k > 0)
+    SELECT a AS src, b AS dst, weight FROM x WHERE weight >= (SELECT t FROM ts JOIN bad ON ts.k = bad.k - 1)"""
+
+_URLS = "u AS (SELECT DISTINCT url AS s, length(url) AS n FROM pages)"
+_BLOCKS = f"""WITH {_URLS}, h AS (SELECT *, n // 2 AS h, n // 3 AS t, n % 3 AS m FROM u),
+    k AS (SELECT s, unnest(['1d', '1d swaps', '2d', '2d swaps']) AS kind, n, h, t, m FROM h),
+    b AS (SELECT s, kind, unnest(CASE
+      WHEN kind LIKE '1d%' THEN list_concat(['!' || s[:h], s[h + 1:] || '!'], CASE WHEN n % 2 = 1 THEN ['!' || s[:h + 1], s[h + 2:] || '!']
+        WHEN kind = '1d swaps' THEN ['!' || s[:h - 1] || s[h + 1], s[h] || s[h + 2:] || '!'] ELSE [] END)
+      WHEN m = 0 THEN list_concat(['<' || s[:t], '=' || s[t + 1:2 * t], '>' || s[2 * t + 1:]], CASE WHEN kind = '2d' THEN [] ELSE
+        ['<' || s[:t - 1] || s[t + 1], '=' || s[t] || s[t + 2:2 * t], '>' || s[2 * t] || s[2 * t + 2:]] END)
+      WHEN m = 1 THEN ['<' || s[:t + 1], '=' || s[t + 2:2 * t + 1], '>' || s[2 * t + 2:], '<' || s[:t], '=' || s[t + 1:2 * t + 1], '=' || s[t + 1:2 * t], '>' || s[2 * t + 1:]]
+      ELSE ['<' || s[:t + 1], '=' || s[t + 2:2 * t + 2], '>' || s[2 * t + 3:], '<' || s[:t], '=' || s[t + 1:2 * t + 1], '>' || s[2 * t + 2:], '=' || s[t + 2:2 * t + 1]]
+      END) AS block FROM k)
+    SELECT s AS value, kind, block FROM b"""
+_URL_KEYS = f"""WITH {_URLS}, i AS (SELECT s, unnest(range(1, n + 1)) AS i FROM u),
+    k AS (SELECT s, unnest([false, true]) AS swaps, unnest([s, s]) AS key FROM u UNION SELECT s, unnest([false, true]), s || '!' FROM u
+      UNION SELECT s, unnest([false, true]), s[:i - 1] || '!' || s[i + 1:] FROM i
+      UNION SELECT s, unnest([false, true]), s[:i - 1] || '!' || s[i:] FROM i WHERE i = 1 OR s[i - 1] <> s[i]
+      UNION SELECT s, true, s[:i - 2] || s[i] || s[i - 1] || s[i + 1:] FROM i WHERE i > 1 AND s[i - 1] <> s[i])
+    SELECT s AS value, swaps, key FROM k"""
+_SIMHASH = """WITH w AS (SELECT item_id AS id, md5(unnest(string_split(lower(text), ' '))) AS d FROM benchmark),
+    v AS (SELECT id, j, sum(CASE WHEN ((instr('0123456789abcdef', d[j // 4 + 1]) - 1) >> (3 - j % 4)) & 1 = 1 THEN 1 ELSE -1 END) > 0 AS b
+      FROM w, range(128) AS r(j) GROUP BY 1, 2),
+    h AS (SELECT id, string_agg(CASE WHEN b THEN '1' ELSE '0' END, '' ORDER BY j) AS bits FROM v GROUP BY id)
+    SELECT a.id, {hex0} AS s0, {hex1} AS s1, hamming(a.bits, b.bits) / 128 AS distance, length(replace(a.bits[:64], '0', '')) AS bits
+    FROM h a JOIN h b ON b.id = a.id + 1"""
+_HEX = "array_to_string(list_transform(range({0}, {0} + 64, 4), lambda i: '0123456789abcdef'[1 + 8 * a.bits[i + 1]::INT + 4 * a.bits[i + 2]::INT + 2 * a.bits[i + 3]::INT + a.bits[i + 4]::INT]), '')"
+
 ORACLES = {
     "jaccard_pairs": _set_sql("jaccard", 0.5),
     "dice_pairs": _set_sql("dice", 0.6),
@@ -344,6 +482,27 @@ ORACLES = {
         t(id, step, c) AS (SELECT DISTINCT x, 0, x FROM l UNION ALL
           SELECT l.x, max(t.step) + 1, min(least(t.c, o.c)) FROM l JOIN t ON t.id = l.y JOIN t o ON o.id = l.x WHERE t.step < 8 GROUP BY l.x)
         SELECT count(*) AS size FROM t WHERE step = 8 GROUP BY c""",
+    "leader_clusters": _GREEDY.format(order="id", members=_LEAD),
+    "vp_tree": _GREEDY.format(order="id", members=_BALL),
+    "fuzzy_clusters": _GREEDY.format(order="first", members=_BALL),
+    "phonetics_of_names": _PHONETICS,
+    "floatsam": _FLOATSAM,
+    "projection_sets": f"""WITH {_SUPPLIERS}, z AS (SELECT a, b, m, x.n AS p, y.n AS q FROM m JOIN k x ON x.s = a JOIN k y ON y.s = b),
+        w AS (SELECT 'dice' AS metric, a, b, 2 * m / (p + q) AS weight FROM z UNION ALL SELECT 'overlap', a, b, m / least(p, q) FROM z
+          UNION ALL SELECT 'binary_cosine', a, b, m / sqrt(p * q) FROM z)
+        SELECT * FROM w WHERE weight >= 0.05""",
+    "simhash_of_benchmark": _SIMHASH.format(hex0=_HEX.format(0), hex1=_HEX.format(64)),
+    "blocks_of_urls": _BLOCKS,
+    "keys_of_urls": _URL_KEYS,
+    "bands": """WITH t AS (SELECT unnest(range(2, 10)) / 10 AS threshold), b AS (SELECT unnest(range(1, 65)) AS b),
+        g AS (SELECT threshold, min(b) AS bands FROM t JOIN b ON (1 / b) ** (b / 64) <= threshold GROUP BY 1)
+        SELECT threshold, bands, round((1 / bands) ** (bands / 64), 9) AS at, round(1 - (1 - threshold ** (64 / bands)) ** bands, 9) AS found FROM g""",
+    "clusters_from_buckets": """WITH RECURSIVE u AS (SELECT DISTINCT url AS s, array_to_string(string_split(url, '/')[:4], '/') AS h FROM pages),
+        e AS (SELECT a.s AS x, b.s AS y FROM u a JOIN u b ON a.h = b.h AND a.s <> b.s AND levenshtein(a.s, b.s) <= 2),
+        r(id, c) AS (SELECT x, x FROM e UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.id)
+        SELECT min(c) AS cluster_id, id FROM r GROUP BY id""",
+    "clusters_to_labels": "SELECT vec_id AS item, label::BIGINT AS cluster FROM embeddings",
+    "zig_zag": "SELECT DISTINCT url AS value, url AS key0, reverse(url) AS key1 FROM pages",
     "key_counts": "SELECT upper(event_type) AS key, count(*) AS n FROM events GROUP BY 1",
     "online_mean": "SELECT event_type, round(avg(value), 6) AS mean FROM events GROUP BY 1",
 }

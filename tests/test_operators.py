@@ -191,3 +191,44 @@ def test_word_tokens(spark):
         words.Options(keep=("word",), drop=("punct",))
     with pytest.raises(TypeError):
         words.Options(min_word_length=4, max_word_length=4)
+
+
+def test_recall_of_approximate_neighbours_and_leaders(spark):
+    rng = random.Random(11)
+    stems = ["".join(rng.choice("abcdefg") for _ in range(9)) for _ in range(30)]
+    xs = sorted({s[:i] + rng.choice("abcdefg") + s[i + 1 :] for s in stems for i in (1, 4, 7)})
+    df = items(spark, xs)
+    brute = lambda a, b: edits(xs[a], xs[b])
+    got = {}
+    for r in P.nn_descent(df, lev, 3).collect():
+        got.setdefault(r["id_a"], []).append(r["score"])
+    hits = 0
+    for i in range(len(xs)):
+        best = sorted(brute(i, j) for j in range(len(xs)) if j != i)[:3]
+        assert len(got[i]) == 3
+        hits += sum(s <= best[-1] for s in got[i])
+    assert hits >= 0.9 * 3 * len(xs)
+    sets = df.select("id", F.array_distinct(T.ngrams(2, "value")).alias("value"))
+    want = {(r["id_a"], r["id_b"]) for r in P.naive_pairs(sets, "jaccard", 0.5).collect()}
+    found = {(r["id_a"], r["id_b"]) for r in P.sqrt_index_pairs(sets, M.jaccard_similarity).collect()}
+    assert want and len(want & found) >= 0.9 * len(want)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_leaders_leave_no_row_without_partners(spark):
+    """Rows that share no token with any leader meet by their own tokens; empty arrays meet nobody."""
+    rows = [(i, ["x", str(i)]) for i in range(20)] + [(100 + i, ["lonely", f"l{i}"]) for i in range(3)] + [(200, [])]
+    df = spark.createDataFrame(rows, "id long, value array<string>")
+    for seed in range(4):
+        found = {(r["id_a"], r["id_b"]) for r in P.sqrt_index_pairs(df, M.jaccard_similarity, seed=seed).collect()}
+        assert {(100, 101), (100, 102), (101, 102)} <= found and all(200 not in p for p in found)
+    assert P.sqrt_index_pairs(df.limit(0), M.jaccard_similarity).count() == 0
