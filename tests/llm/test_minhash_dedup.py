@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
-from kindred.llm import minhash_dedup as D
+from kindred.llm import common as C, minhash_dedup as D
 from kindred.llm.common import shingles_of
 
 from .corpora import SCHEMA, corpus, frame, words
@@ -118,3 +118,21 @@ def test_keep_one_and_null_ids(spark):
     rows = [(None, text, *[None] * 5)] * 3 + [(None, "g h", *[None] * 5)] * 2 + [(9, "g h", *[None] * 5)]
     kept = [(r["doc_id"], r["text"]) for r in D.keep_one(frame(spark, rows)).collect()]
     assert sorted(kept, key=str) == [(9, "g h"), (None, text)]
+
+
+def test_components_of_a_path_join_few_rows_a_round(spark, monkeypatch):
+    """A path, a ring, a star and a loop, by rounds alone and with the driver's help; links go as rounds go on."""
+    rng = random.Random(4)
+    names = rng.sample(range(10**4, 10**6), 400)
+    links = [(i, i + 1) for i in range(2000, 2200)] + [(x, y) for x, y in zip(names, names[1:] + names[:1], strict=True)]
+    links += [(10**7 + i, 10**7) for i in range(100)] + [(-5, -5)]
+    want = {**{i: 2000 for i in range(2000, 2201)}, **{10**7 + i: 10**7 for i in range(100)}, -5: -5}
+    want |= dict.fromkeys(names, min(names))
+    written = []
+    keep = C.materialise
+    monkeypatch.setattr(C, "materialise", lambda df, tag: written.append((tag, kept := keep(df, tag))) or kept)
+    edges = spark.createDataFrame(links, "a long, b long")
+    for few in (0, 10_000):
+        assert {r["id"]: r["root"] for r in C.components(edges, few=few).collect()} == want
+    drawn = [df.count() for tag, df in written if tag == "cc-e"]
+    assert sum(drawn[:-1]) < 2 * len(links)
