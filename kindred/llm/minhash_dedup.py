@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import components, materialise, mix64, shingles, shingles_of, word_hashes, word_spans
+from .common import components, give_back, materialise, mix64, shingles, shingles_of, word_hashes, word_spans
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 PIVOT_CHANGES = 6
@@ -121,6 +121,7 @@ def signatures(docs: DataFrame, bands: int = 24, rows: int = 5) -> DataFrame:
                 ],
                 ["doc_id", "same", "bands"],
             )
+        give_back()
 
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return ready.mapInArrow(run, "doc_id long, same binary, bands array<long>")
@@ -142,6 +143,8 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "sim"]
             )
+        held.clear()
+        give_back()
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
