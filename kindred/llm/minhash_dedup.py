@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import components, give_back, materialise, mix64, shingles, shingles_of, word_hashes, word_spans
+from .common import components, give_back, let_go, materialise, mix64, shingles, shingles_of, word_hashes, word_spans
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 PIVOT_CHANGES = 6
@@ -111,6 +111,7 @@ def signatures(docs: DataFrame, bands: int = 24, rows: int = 5) -> DataFrame:
     """(doc_id, same, bands)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             got = [band_keys(t.as_py(), bands, rows) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import materialise
+from .common import KEPT, materialise
 
 Pattern = tuple[tuple[int, int], ...]
 #: (pattern as ((length, times), ...) with falling lengths, multiplicity)
@@ -269,12 +269,11 @@ class CachedTokenizer:
         return b"".join([young[w] for w in words])
 
 
-_TOKENIZERS: dict[str, CachedTokenizer] = {}
-
-
 def tokenizer_at(path: str) -> CachedTokenizer:
-    """One per worker process."""
-    return _TOKENIZERS.setdefault(path, None) or _TOKENIZERS.__setitem__(path, CachedTokenizer(path)) or _TOKENIZERS[path]
+    """One per worker process, until another operator's tasks let it go."""
+    if ("tokenizer", path) not in KEPT:
+        KEPT["tokenizer", path] = CachedTokenizer(path)
+    return KEPT["tokenizer", path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import give_back, let_go
+
 # Second person words of the languages met.
 SECOND_PERSON = frozenset(
     "you your yours yourself ya ur du dich dir dein deine ihr euch sie ihnen tu te toi ton ta tes vous votre vos "
@@ -297,12 +299,14 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             s = np.concatenate([model.scores(b.column(2).slice(i, 500).to_pylist()) for i in range(0, b.num_rows, 500)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"],
             )
+        give_back()
 
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     return ready.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -313,9 +317,11 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) ->
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 yield part.filter(pa.array(model.scores(part.column(at).to_pylist()) < threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
