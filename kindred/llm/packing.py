@@ -18,11 +18,12 @@ have is ranked by many tasks, and the rank leads to a place by a lookup in the p
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -213,60 +214,97 @@ class CachedTokenizer:
     """Ids of a Hugging Face tokenizer whose tokens never cross white space, by cached chunks.
 
     A chunk between white space is encoded once and kept; a text is the chunks' ids in order, which
-    equals encoding it whole. A full stop or comma that ends a chunk behind a letter or digit is a chunk of
-    its own, as it is a token of its own. The cache has two generations: when the young one is
+    equals encoding it whole. Of a chunk that ends in a full stop or comma behind a letter or digit the rest
+    is encoded, as the stop is a token of its own. Chunks of Latin letters alone are one word to the tokenizers of
+    ``_PLAIN``, so its model gets them at once. The cache has two generations: when the young one is
     full it becomes the old one, and what is met again is taken over, so common words stay.
     """
 
     #: What the tokenizers' \\s is; str.split() also splits at \\x1c-\\x1f.
     _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
     _ODD = re.compile("[\x1c-\x1f]")
-    _STOP = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
     _MARK = "\x01"
+    _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    #: Normalizer and pre-tokenizer by which a chunk of such letters, in lower case and as bytes, is a word of the model.
+    _PLAIN = (
+        [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+        [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    )
 
     def __init__(self, path: str, room: int = 700_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.inner, self.young, self.old, self.room = Tokenizer.from_file(path), {}, {}, room
-        mark = self.inner.encode(self._MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.mark = self._only(self._MARK)
+        self.stops = {c: self._bytes_of(c) for c in ".,"}
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        kinds = tuple((told.get(k) or {}).get(n) for k, n in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        plain = kinds == self._PLAIN and told["model"].get("type") == "BPE" and not told["model"].get("dropout")
+        plain = plain and not any(self._LETTERS.fullmatch(x["content"]) for x in told.get("added_tokens") or ())
+        self.model = self.inner.model if plain else None
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.raw = [i.to_bytes(4, "little") for i in range(self.inner.get_vocab_size())] if plain else []
+
+    def _bytes_of(self, text: str) -> bytes:
+        return np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _only(self, text: str) -> bytes | None:
+        ids = self._bytes_of(text)
+        return ids if len(ids) == 4 else None
 
     def chunks(self, text: str) -> list[str]:
-        text = self._STOP.sub(r" \1", text)
         return [x for x in self._SPACE.split(text) if x] if self._ODD.search(text) else text.split()
 
     def _encode(self, chunks: list[str]) -> None:
         """Encode new chunks in one text, with a mark between them whose id no other text has."""
-        plain = [c for c in chunks if self._MARK not in c] if self.mark is not None else []
-        if plain:
-            ids = np.array(self.inner.encode(f" {self._MARK} ".join(plain), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            for c, start, end in zip(plain, [-1, *cuts], [*cuts, len(ids)], strict=True):
-                self.young[c] = ids[start + 1 : end].tobytes()
+        marked = [c for c in chunks if self._MARK not in c] if self.mark is not None else []
+        if marked:
+            ids = self._bytes_of(f" {self._MARK} ".join(marked))
+            cuts = (4 * np.flatnonzero(np.frombuffer(ids, "<u4") == int.from_bytes(self.mark, "little"))).tolist()
+            for c, start, end in zip(marked, [-4, *cuts], [*cuts, len(ids)], strict=True):
+                self.young[c] = ids[start + 4 : end]
         for c in chunks:
             if c not in self.young:
-                self.young[c] = np.array(self.inner.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+                self.young[c] = self._bytes_of(c)
+
+    def _learn(self, chunks: Iterable[str]) -> None:
+        """Take new chunks into the young generation."""
+        young, old, raw, model = self.young, self.old, self.raw, self.model
+        stopped, others = [], []
+        for c in chunks:
+            got = old.get(c)
+            if got is not None:
+                young[c] = got
+            elif c[-1] in ".," and c[-2:-1].isalnum():
+                stopped.append(c)
+            elif model is not None and self._LETTERS.fullmatch(c):
+                low = c.lower() if c.isascii() else c.lower().translate(self.as_bytes)
+                young[c] = b"".join([raw[t.id] for t in model.tokenize(low)])
+            else:
+                others.append(c)
+        for at in range(0, len(others), 4096):
+            self._encode(others[at : at + 4096])
+        if stopped:
+            self._learn({c[:-1] for c in stopped}.difference(young))
+            for c in stopped:
+                young[c] = young[c[:-1]] + self.stops[c[-1]]
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words, young = self.chunks(text), self.young
+        words = self.chunks(text)
         try:
-            return b"".join([young[w] for w in words])
+            return b"".join(map(self.young.__getitem__, words))
         except KeyError:
             pass
-        if len(young) > self.room:
-            self.old, self.young = young, {}
-            young = self.young
-        missing = []
-        for w in {w for w in words if w not in young}:
-            got = self.old.get(w)
-            if got is None:
-                missing.append(w)
-            else:
-                young[w] = got
-        for at in range(0, len(missing), 4096):
-            self._encode(missing[at : at + 4096])
-        return b"".join([young[w] for w in words])
+        if len(self.young) > self.room:
+            self.old, self.young = self.young, {}
+        self._learn(set(words).difference(self.young))
+        return b"".join(map(self.young.__getitem__, words))
 
 
 def tokenizer_at(path: str) -> CachedTokenizer:

@@ -53,6 +53,24 @@ def test_cached_ids_equal_the_tokenizer():
         assert np.frombuffer(tok.ids(t), "<u4").tolist() == want, t
 
 
+def test_words_of_latin_letters_go_to_the_model_alone():
+    rng = random.Random(8)
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100))]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 14))) + rng.choice(["", "", ".", ","]) for _ in range(3000)]
+    words += [chr(c) for c in (*range(65, 91), *range(0xC0, 0x100))] + ["ªº", "µm", "İx", "STRAẞE", "e\u0301.", "s", "don't", "x_.", "5.", "a.,", "²,"]
+    text = " ".join(words)
+    tok = P.CachedTokenizer(PATH, room=500)
+    assert np.frombuffer(tok.ids(text), "<u4").tolist() == tok.inner.encode(text, add_special_tokens=False).ids
+
+    class Spy:
+        def encode(self, text, **_):
+            raise AssertionError(text[:80])
+
+    tok = P.CachedTokenizer(PATH)
+    tok.inner = Spy()
+    assert tok.ids("Ein schöner Tag, été FAÇADE. Qwzx") and len(tok.young) == 8
+
+
 def test_pieces_are_placed_once_without_gaps(spark):
     rows = corpus(4) + [(500, "word " * 5000, "en", "s", 1, "x", 1), (500, "word " * 5000, "en", "s", 1, "x", 1), (None, "a b", None, None, None, None, None)]
     out = P.pack(frame(spark, rows), PATH, capacity=256).collect()
