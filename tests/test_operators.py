@@ -124,6 +124,40 @@ def test_cosine_nearest(spark):
     assert got == {1: 2, 2: 1, 3: 1}
 
 
+def test_equal_vectors_are_compared_once(spark):
+    """Copies cost no comparisons of their own: the join on terms makes rows for different vectors only."""
+    v = [(100 * c + i, t, float(1 + (i + 1) * (t == "a"))) for c in range(12) for i in range(3) for t in "ab"]
+    got = P.cosine_pairs(spark.createDataFrame(v, "id long, term string, weight double"), 0.97)
+    cos = lambda i, j: ((i + 2) * (j + 2) + 1) / (((i + 2) ** 2 + 1) * ((j + 2) ** 2 + 1)) ** 0.5
+    ids = [100 * c + i for c in range(12) for i in range(3)]
+    want = {(a, b): cos(a % 100, b % 100) for a in ids for b in ids if a < b and cos(a % 100, b % 100) >= 0.97}
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r["id_a"], r["id_b"]) for r in rows} == set(want)
+    assert all(r["score"] == pytest.approx(want[r["id_a"], r["id_b"]]) for r in rows)
+    made = most_rows_of_a_join(got, "term")
+    assert 0 < made <= 2 * 3 * 3
+
+
+def most_rows_of_a_join(df, on):
+    """Rows that the joins on a column made, by the metrics of the plan that ran."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(p):
+        name = p.nodeName()
+        if "Join" in name and on in p.simpleString(10_000):
+            found.append(p.metrics().apply("numOutputRows").value())
+        if "AdaptiveSparkPlan" in name:
+            walk(p.executedPlan())
+        if "QueryStage" in name:
+            walk(p.plan())
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(plan)
+    return max(found, default=0)
+
+
 def test_hashjoin(spark):
     left = spark.createDataFrame([(1, "Ron The Turtel"), (2, "John Mirage"), (3, None)], "id long, value string")
     right = spark.createDataFrame([(1, "Ron Wisley"), (2, "John Doe"), (3, None)], "id long, value string")
