@@ -15,6 +15,7 @@ from kindred.functions import keys as K, metrics as M, sketch
 from kindred.plans.work import materialise, ranked
 
 EPSILON = 1e-6
+COMMON = 64  # values that may share a segment and meet by it
 Condition = Callable[[Column, Column], Column]
 
 SIMILARITIES: dict[str, Callable[[Column, Column], Column]] = {
@@ -313,15 +314,18 @@ def probe_interval(k: int, delta: int, i: int, s: int, start: int, size: int) ->
     return max(0, start - i, start + delta - slack), min(start + i, start + delta + slack, s - size)
 
 
-def segment_pairs(df: DataFrame, k: int) -> DataFrame:
-    """Exact edit-distance join by shared segments (PassJoin).
+def segment_pairs(df: DataFrame, k: int, block: str | None = None) -> DataFrame:
+    """Exact edit-distance join by shared segments (PassJoin), of rows with one ``block`` column if it is named.
 
     The windows of substrings to probe depend on lengths alone: one row of them per length,
-    neighbour length and segment, which is joined to the strings by length.
+    neighbour length and segment, which is joined to the strings by length. Equal values are compared
+    once. Values with a segment that over ``COMMON`` values have meet by what up to k deletions leave
+    of them instead, which two values within k edits share, so no segment makes all pairs of its values.
     """
     spark = df.sparkSession
-    rows = df.select("id", "value", F.length("value").alias("n"))
-    lengths = sorted(r["n"] for r in rows.select("n").filter("n is not null").distinct().collect())
+    rows = df.filter("value is not null").select("id", "value", (F.col(block) if block else F.lit(0)).alias("block"))
+    values = materialise(rows.select("block", "value").distinct().withColumn("n", F.length("value")), "values")
+    lengths = sorted(r["n"] for r in values.select("n").distinct().collect())
     known = set(lengths)
     cuts = [(n, i, start, size) for n in lengths for i, start, size in partition(k, n)]
     probes = [
@@ -335,17 +339,43 @@ def segment_pairs(df: DataFrame, k: int) -> DataFrame:
     ]
     cut_table = spark.createDataFrame(cuts or [(0, 0, 0, 0)], "n int, seg int, start int, size int")
     probe_table = spark.createDataFrame(probes or [(-1, 0, 0, 0, 0, 0)], "n int, m int, seg int, lo int, hi int, size int")
-    indexed = rows.join(cut_table, "n").select(
-        F.col("id").alias("id_b"), F.col("n").alias("m"), "seg", F.expr("substring(value, start + 1, size)").alias("piece")
+    indexed = values.join(cut_table, "n").select(
+        "block", F.col("value").alias("value_b"), F.col("n").alias("m"), "seg", F.expr("substring(value, start + 1, size)").alias("piece")
     )
-    probing = rows.join(probe_table, "n").select(
-        F.col("id").alias("id_a"), "n", "m", "seg",
+    probing = values.join(probe_table, "n").select(
+        "block", F.col("value").alias("value_a"), "n", "m", "seg",
         F.explode(F.expr("array_distinct(transform(sequence(lo, hi), p -> substring(value, p + 1, size)))")).alias("piece"),
     )
-    found = probing.join(indexed, ["m", "seg", "piece"]).filter((F.col("n") > F.col("m")) | (F.col("id_a") < F.col("id_b")))
-    found = found.filter("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    both = _with_values(found.distinct(), df).withColumn("score", F.levenshtein("value_a", "value_b", k))
-    return both.filter("score >= 0").select("id_a", "id_b", "score")
+    on = ["block", "m", "seg", "piece"]
+    common = materialise(indexed.groupBy(on).agg(F.count("*").alias("_n")).filter(F.col("_n") > COMMON).select(on), "common")
+    found = probing.join(indexed.join(common, on, "left_anti"), on).filter((F.col("n") > F.col("m")) | (F.col("value_a") < F.col("value_b")))
+    near = lambda pairs: pairs.withColumn("score", F.levenshtein("value_a", "value_b", k)).filter("score >= 0")
+    ends = (F.least("value_a", "value_b").alias("value_a"), F.greatest("value_a", "value_b").alias("value_b"))
+    found = near(found.filter("value_a <> value_b").select("block", *ends).distinct())
+    if not common.isEmpty():
+        crowded = materialise(probing.join(common, on, "left_semi").select("block", F.col("value_a").alias("value")).distinct(), "crowded")
+        left = crowded.select("block", "value", F.explode(F.array_distinct(_deletions("value", k))).alias("left"))
+        left = left.select("block", "value", F.xxhash64("left").alias("left"))
+        a, b = left.withColumnRenamed("value", "value_a"), left.withColumnRenamed("value", "value_b")
+        found = found.union(near(a.join(b, ["block", "left"]).filter("value_a < value_b").select("block", "value_a", "value_b"))).distinct()
+    ids = rows.withColumn("rep", F.struct("block", "value")).select("rep", "id")
+    reps = found.select(F.struct("block", F.col("value_a").alias("value")).alias("rep_a"), F.struct("block", F.col("value_b").alias("value")).alias("rep_b"), "score")
+    copies = ids.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.lit(0).alias("score"))
+    return _members(reps.union(copies), ids)
+
+
+def _deletions(value: str, k: int) -> Column:
+    """What is left of a string without up to k of its characters; an array."""
+    less = lambda v: F.when(
+        F.length(v) > 0,
+        F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v)))),
+    ).otherwise(F.array().cast("array<string>"))
+    last = F.array(F.col(value))
+    out = [last]
+    for _ in range(k):
+        last = F.array_distinct(F.flatten(F.transform(last, less)))
+        out.append(last)
+    return F.concat(*out)
 
 
 def wildcard_pairs(df: DataFrame, transpositions: bool = False) -> DataFrame:

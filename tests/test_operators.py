@@ -108,6 +108,19 @@ def test_fast_joins_equal_naive(spark):
         similarity_pairs(sets, "nothing", 0.5)
 
 
+def test_common_segments_make_no_pairs(spark):
+    """Names that all share a segment, some of them repeated: as many pairs as brute force, by few comparisons."""
+    rng = random.Random(5)
+    xs = ["Supplier#%09d" % rng.randrange(3000) for _ in range(300)] + ["x", "xy", "", "Suplier#000000001", "Supplier#00000001"]
+    df = items(spark, xs)
+    for k in (1, 2):
+        want = {(i, j): d for i in range(len(xs)) for j in range(i + 1, len(xs)) if (d := edits(xs[i], xs[j])) <= k}
+        got = P.segment_pairs(df, k)
+        rows = got.collect()
+        assert len(rows) == len(want) and {(r["id_a"], r["id_b"]): r["score"] for r in rows} == want
+    assert most_rows_of_a_join(P.segment_pairs(df, 1), "piece") < 20 * len(xs)
+
+
 def test_nn_descent_and_quickjoin(spark):
     xs = ["Mister Hyde", "Mister Hide", "Claudia Loc", "Cladia Loc"]
     want = {("Mister Hide", "Mister Hyde"), ("Cladia Loc", "Claudia Loc")}
