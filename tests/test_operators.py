@@ -121,6 +121,21 @@ def test_common_segments_make_no_pairs(spark):
     assert most_rows_of_a_join(P.segment_pairs(df, 1), "piece") < 20 * len(xs)
 
 
+def test_clusters_from_buckets_by_edits(spark):
+    """As with the condition, but a large bucket makes few pairs; values meet within their bucket only."""
+    rng = random.Random(3)
+    xs = sorted({"/%06d%s" % (rng.randrange(10**6), rng.choice((".html", "#top"))) for _ in range(400)} | {f"/{i}/" for i in range(9)})
+    df = items(spark, xs)
+    keyed = df.select(F.when(F.col("id") % 9 == 0, "b").otherwise("a").alias("key"), "id")
+    got = C.as_lists(C.clusters_from_buckets(keyed, df, edits=2)).collect()
+    want = C.as_lists(C.clusters_from_buckets(keyed, df, lambda a, b: F.levenshtein(a, b) <= 2)).collect()
+    assert want and sorted(r["ids"] for r in got) == sorted(r["ids"] for r in want)
+    rows = keyed.join(df, "id").withColumnRenamed("key", "block")
+    assert most_rows_of_a_join(P.segment_pairs(rows, 2, "block"), "piece") < 30 * len(xs)
+    with pytest.raises(TypeError):
+        C.clusters_from_buckets(keyed, df, lambda a, b: a == b, edits=1)
+
+
 def test_nn_descent_and_quickjoin(spark):
     xs = ["Mister Hyde", "Mister Hide", "Claudia Loc", "Cladia Loc"]
     want = {("Mister Hide", "Mister Hyde"), ("Cladia Loc", "Claudia Loc")}
