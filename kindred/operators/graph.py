@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from kindred.plans.work import materialise, ranked
+
 from .clusters import connected_components
 
 METRICS = (None, "jaccard", "dice", "overlap", "binary_cosine", "cosine")
@@ -25,43 +28,86 @@ def check_bipartite(nodes: DataFrame, edges: DataFrame) -> None:
         raise TypeError("the graph is not bipartite")
 
 
-def monopartite_projection(
-    nodes: DataFrame, edges: DataFrame, project: str, metric: str | None = None, threshold: float | None = None, check: bool = True
-) -> DataFrame:
-    """(a, b, weight) of nodes of part ``project`` that share neighbours, a < b.
-
-    Weight: shared neighbours (no metric), a set metric of the neighbourhoods, or the cosine of the
-    edge weights. Nodes without such an edge have none; they stay in ``nodes``.
-    """
-    if metric not in METRICS:
-        raise TypeError(f"unknown metric {metric!r}")
+def _checked(nodes: DataFrame, edges: DataFrame, metrics: list[str | None], check: bool) -> None:
+    for m in metrics:
+        if m not in METRICS:
+            raise TypeError(f"unknown metric {m!r}")
     if check:
         check_bipartite(nodes, edges)
-    own = nodes.filter(F.col("part") == project).select("id")
+
+
+def shared_neighbours(nodes: DataFrame, edges: DataFrame, project: str, weighted: bool = True) -> DataFrame:
+    """(a, b, m, dot, na, nb, qa, qb) of nodes of part ``project`` that share m neighbours, a < b; dot, qa and qb if ``weighted``.
+
+    Nodes are numbered in their order. A neighbour sends each of its nodes the later ones, as one array;
+    a node counts what it is sent in the task where that is, so no pair of a single neighbour is a row of an exchange.
+    """
+    own = nodes.filter(F.col("part") == project).select("id").distinct()
     e = _weighted(edges)
     both = e.select(F.col("src").alias("id"), F.col("dst").alias("via"), "weight").union(
         e.select(F.col("dst").alias("id"), F.col("src").alias("via"), "weight")
     )
-    ties = both.join(own, "id", "left_semi").groupBy("id", "via").agg(F.max("weight").alias("w"))
-    a = ties.select("via", F.col("id").alias("a"), F.col("w").alias("wa"))
-    b = ties.select("via", F.col("id").alias("b"), F.col("w").alias("wb"))
-    met = a.join(b, "via").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("m"), F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    size = ties.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.col("w") * F.col("w")).alias("q"))
-    met = met.join(size.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("q").alias("qa")), "a")
-    met = met.join(size.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("q").alias("qb")), "b")
+    own = materialise(ranked(own.filter("id is not null"), "id").withColumn("pos", F.col("pos").cast("int")), "nodes")
+    ties = both.join(own, "id").groupBy("pos", "via").agg(F.max("weight").alias("w"))
+    ties = materialise(ties if weighted else ties.select("pos", "via"), "ties")
+    size = ties.groupBy("pos").agg(F.count("*").alias("n"), *([F.sum(F.col("w") * F.col("w")).alias("q")] if weighted else []))
+    size = materialise(size.join(own, "pos"), "sizes")
+    member = F.struct("pos", "w") if weighted else F.col("pos")
+    groups = ties.filter("via is not null").groupBy("via").agg(F.sort_array(F.collect_list(member)).alias("all"))
+    later = F.slice("all", F.col("i") + 2, F.size("all"))
+    sent = groups.filter(F.size("all") > 1).select("all", F.posexplode("all").alias("i", "first")).filter(F.col("i") + 1 < F.size("all"))
+    if weighted:
+        sent = sent.select(F.col("first.pos").alias("x"), F.col("first.w").alias("wa"), later.alias("later"))
+    else:
+        sent = sent.select(F.col("first").alias("x"), later.alias("later"))
+    # dealt by x alone, which also groups by (x, y)
+    sent = sent.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x")
+    each = sent.select("*", F.explode("later").alias("y")).drop("later")
+    if weighted:
+        met = each.groupBy("x", F.col("y.pos").alias("y")).agg(F.count("*").alias("m"), F.sum(F.col("wa") * F.col("y.w")).alias("dot"))
+    else:
+        met = each.groupBy("x", "y").agg(F.count("*").alias("m"))
+    side = lambda pos, end: size.select(F.col("pos").alias(pos), F.col("id").alias(end), F.col("n").alias("n" + end), *([F.col("q").alias("q" + end)] if weighted else []))
+    return met.join(side("x", "a"), "x").join(side("y", "b"), "y").drop("x", "y")
+
+
+def weighed(met: DataFrame, metric: str | None = None, threshold: float | None = None) -> DataFrame:
+    """(a, b, weight) of ``shared_neighbours``."""
     m, x, y = F.col("m"), F.col("na"), F.col("nb")
     weight = {
-        None: m.cast("double"),
-        "jaccard": m / (x + y - m),
-        "dice": 2 * m / (x + y),
-        "overlap": m / F.least(x, y),
-        "binary_cosine": m / F.sqrt((x * y).cast("double")),
-        "cosine": F.coalesce(F.try_divide("dot", F.sqrt(F.col("qa") * F.col("qb"))), F.lit(0.0)),
-    }[metric]
+        None: lambda: m.cast("double"),
+        "jaccard": lambda: m / (x + y - m),
+        "dice": lambda: 2 * m / (x + y),
+        "overlap": lambda: m / F.least(x, y),
+        "binary_cosine": lambda: m / F.sqrt((x * y).cast("double")),
+        "cosine": lambda: F.coalesce(F.try_divide("dot", F.sqrt(F.col("qa") * F.col("qb"))), F.lit(0.0)),
+    }[metric]()
     out = met.select("a", "b", weight.alias("weight")).filter("weight <> 0")
     return out if threshold is None else out.filter(F.col("weight") >= threshold)
 
 
+def monopartite_projection(
+    nodes: DataFrame, edges: DataFrame, project: str, metric: str | None = None, threshold: float | None = None, check: bool = True
+) -> DataFrame:
+    """(a, b, weight) of nodes of part ``project`` that share neighbours, a < b.
+
+    Weight: shared neighbours (no metric), a set metric of the neighbourhoods, or the cosine of the
+    edge weights. Nodes without such an edge have none; they stay in ``nodes``.
+    """
+    _checked(nodes, edges, [metric], check)
+    return weighed(shared_neighbours(nodes, edges, project, metric == "cosine"), metric, threshold)
+
+
+def monopartite_projections(
+    nodes: DataFrame, edges: DataFrame, project: str, metrics: list[str | None], threshold: float | None = None, check: bool = True
+) -> DataFrame:
+    """(metric, a, b, weight) by several metrics; shared neighbours are counted once and written."""
+    _checked(nodes, edges, metrics, check)
+    met = materialise(shared_neighbours(nodes, edges, project, "cosine" in metrics), "met")
+    found = [weighed(met, m, threshold).select(F.lit(m).alias("metric"), "a", "b", "weight") for m in metrics]
+    return reduce(DataFrame.union, found)
+
+
 def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(component, size), isolated nodes included."""
     links = edges.filter("src <> dst").select(F.least("src", "dst").alias("id_a"), F.greatest("src", "dst").alias("id_b"))

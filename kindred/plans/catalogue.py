@@ -13,6 +13,7 @@ from kindred.sources import tables
 from kindred.streaming import online
 
 from .planner import similarity_pairs
+from .work import materialise
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -129,6 +130,7 @@ def bipartite(spark, d):
 
 def suppliers(spark, d):
     e = _read(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
+    e = materialise(e, "edges")
     nodes = e.select(F.col("src").alias("id"), F.lit("supplier").alias("part")).union(e.select("dst", F.lit("part"))).distinct()
     return nodes, e
 
@@ -177,11 +179,7 @@ def keys_of_urls(spark, d):
 
 
 def set_projections(spark, d):
-    found = [
-        graph.monopartite_projection(*suppliers(spark, d), "supplier", m, 0.05).select(F.lit(m).alias("metric"), "a", "b", "weight")
-        for m in ("dice", "overlap", "binary_cosine")
-    ]
-    return found[0].union(found[1]).union(found[2])
+    return graph.monopartite_projections(*suppliers(spark, d), "supplier", ["dice", "overlap", "binary_cosine"], 0.05)
 
 
 def bands(spark, d):

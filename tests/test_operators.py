@@ -212,6 +212,26 @@ def test_projection(spark):
         graph.monopartite_projection(n, spark.createDataFrame([("A", "B")], "src string, dst string"), "people")
 
 
+def test_projection_counts_where_arrays_lie(spark):
+    """All metrics against brute force; pairs of single neighbours are not exchanged."""
+    rng = random.Random(9)
+    edges = sorted({(f"s{rng.randrange(60)}", f"p{rng.randrange(40)}") for _ in range(700)})
+    near = {}
+    for s, p in edges:
+        near.setdefault(s, set()).add(p)
+    n = spark.createDataFrame([(s, "s") for s in near] + [(p, "p") for p in {p for _, p in edges}], "id string, part string")
+    e = spark.createDataFrame(edges, "src string, dst string")
+    want = {(a, b): len(near[a] & near[b]) for a in near for b in near if a < b and near[a] & near[b]}
+    got = lambda m: {(r["a"], r["b"]): r["weight"] for r in graph.monopartite_projection(n, e, "s", m).collect()}
+    assert got(None) == want
+    ratio = {k: m / (len(near[k[0]]) * len(near[k[1]])) ** 0.5 for k, m in want.items()}
+    assert got("cosine") == pytest.approx(ratio)
+    several = graph.monopartite_projections(n, e, "s", ["binary_cosine", "overlap"]).collect()
+    assert {(r["a"], r["b"]): r["weight"] for r in several if r["metric"] == "binary_cosine"} == pytest.approx(ratio)
+    assert len(several) == 2 * len(want)
+    assert most_rows_of_a_join(graph.monopartite_projection(n, e, "s"), "via") == 0
+
+
 def test_component_sizes_and_floatsam(spark):
     nodes = spark.createDataFrame([(i,) for i in range(1, 10)], "id long")
     pairs = [(1, 2), (2, 3), (3, 4), (4, 1), (1, 5), (6, 7), (6, 8)]
