@@ -275,6 +275,21 @@ def test_word_tokens(spark):
         words.Options(min_word_length=4, max_word_length=4)
 
 
+def test_word_tokens_of_many_texts_are_not_held_in_python():
+    """A batch of texts takes less memory of Python than its tokens as objects, and gives the same tokens."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [f"word{i} and some more words, {i} of them" for i in range(3000)] + [None, ""]
+    tracemalloc.start()
+    got = words.token_lists(pa.array(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
+    assert [[(t["type"], t["value"]) for t in r] for r in got.to_pylist()] == [words.tokenize_text(t) for t in texts]
+
+
 def test_recall_of_approximate_neighbours_and_leaders(spark):
     rng = random.Random(11)
     stems = ["".join(rng.choice("abcdefg") for _ in range(9)) for _ in range(30)]
