@@ -22,19 +22,35 @@ INF = 2**62
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in (id_a, id_b); the component is its smallest id.
 
-    Smallest labels spread over links and are followed to their own labels, until none changes;
-    every round is written to the shared folder, so it needs no growing lineage.
+    Each id points to the smallest within two links, pointers are followed to their ends, and links are
+    contracted to those between ends, until none is left; so one round only meets all links. What a
+    round finds is written to the shared folder, so it needs no growing lineage.
     """
     a, b = F.col("id_a"), F.col("id_b")
-    both = materialise(edges.select(a, b).union(edges.select(b.alias("id_a"), a.alias("id_b"))).distinct(), "links")
-    labels = materialise(both.groupBy(a.alias("id")).agg(F.min("id_b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    links = materialise(edges.select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")), "links")
+    rounds: list[DataFrame] = []
+    while not rounds or not links.isEmpty():
+        both = links.union(links.select(b.alias("id_a"), a.alias("id_b")))
+        near = materialise(both.groupBy(a.alias("id")).agg(F.min("id_b").alias("m")).select("id", F.least("id", "m").alias("m")), "near")
+        least = both.join(near.withColumnRenamed("id", "id_b"), "id_b").groupBy(a.alias("id")).agg(F.min("m").alias("far"))
+        labels = materialise(near.join(least, "id").select("id", F.least("m", "far").alias("component")), "labels")
+        rounds.append(_followed(labels))
+        end = lambda side: rounds[-1].select(F.col("id").alias(side), F.col("component").alias("end_" + side))
+        left = links.join(end("id_a"), "id_a").join(end("id_b"), "id_b").filter("end_id_a <> end_id_b")
+        left = left.select(F.least("end_id_a", "end_id_b").alias("id_a"), F.greatest("end_id_a", "end_id_b").alias("id_b"))
+        links = materialise(left.distinct(), "links")
+    found = rounds.pop()
+    while rounds:
+        on = found.select(F.col("id").alias("component"), F.col("component").alias("end"))
+        found = rounds.pop().join(on, "component", "left").select("id", F.coalesce("end", "component").alias("component"))
+    return found
+
+
+def _followed(labels: DataFrame) -> DataFrame:
+    """(id, component) with pointers to smaller ids followed to their ends."""
     while True:
-        far = labels.select(F.col("id").alias("id_b"), F.col("component").alias("far"))
-        least = both.join(far, "id_b").groupBy(a.alias("id")).agg(F.min("far").alias("far"))
-        hooked = labels.join(least, "id").select("id", F.col("component").alias("old"), F.least("component", "far").alias("component"))
         up = labels.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        jumped = hooked.join(up, "component", "left").select("id", "old", F.least("component", F.coalesce("up", "component")).alias("component"))
-        step = materialise(jumped, "labels")
+        step = materialise(labels.join(up, "component").select("id", F.col("component").alias("old"), F.col("up").alias("component")), "labels")
         labels = step.select("id", "component")
         if step.filter("old <> component").isEmpty():
             return labels

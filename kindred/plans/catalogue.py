@@ -132,7 +132,7 @@ def suppliers(spark, d):
     e = _read(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
     e = materialise(e, "edges")
     nodes = e.select(F.col("src").alias("id"), F.lit("supplier").alias("part")).union(e.select("dst", F.lit("part"))).distinct()
-    return nodes, e
+    return materialise(nodes, "nodes"), e
 
 
 def evaluation(spark, d):

@@ -242,6 +242,30 @@ def test_component_sizes_and_floatsam(spark):
     assert graph.floatsam_threshold(nodes, edges.limit(0)) == 0.0
 
 
+def test_components_contract_their_links(spark, monkeypatch):
+    """Random graphs, a long path and loops against a search; after the first round few links are left."""
+    rng = random.Random(2)
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(40)] + [(300, 300), (17, 17)]
+    edges += [(1000 + rng.randrange(30), 2000 + rng.randrange(60)) for _ in range(600)]
+    parent = {}
+    root = lambda x: x if parent.setdefault(x, x) == x else root(parent[x])
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    written, put = [], C.materialise
+
+    def watch(df, tag):
+        got = put(df, tag)
+        if tag == "links":
+            written.append(got.count())
+        return got
+
+    monkeypatch.setattr(C, "materialise", watch)
+    got = C.connected_components(spark.createDataFrame(edges, "id_a long, id_b long")).collect()
+    assert len(got) == len(parent) and {r["id"]: r["component"] for r in got} == {x: root(x) for x in parent}
+    assert len(written) > 1 and written[1] < 60 and written[-1] == 0
+
+
 def test_evaluation(spark):
     f = lambda rows: spark.createDataFrame(rows, "item string, cluster long")
     truth = f([("a", 1), ("b", 1), ("c", 2), ("d", 2)])
